@@ -65,7 +65,7 @@ def row_mean_proba(long: DataFrame, keys=(KEY,), exclude_train_on: str | None =
     ``exclude_train_on=None`` keeps every model (reference parity, Q9)."""
     if exclude_train_on is not None:
         long = long.filter(F.col("train_on") != exclude_train_on)
-    return long.groupBy(*keys).agg(F.avg("proba").alias("mean_proba"))
+    return long.groupBy(*keys).agg(F.round(F.avg("proba"), 12).alias("mean_proba"))
 
 
 def binarize(col: str | Column, threshold: float) -> Column:
