@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,18 @@ ORACLE: dict[str, str] = {}
 
 DIGITS = 6
 
+_FLOAT_COLS_PATH = os.path.join(os.path.dirname(__file__), "float_columns.json")
+FLOAT_COLUMNS: dict[str, list[str]] = json.load(open(_FLOAT_COLS_PATH)) if os.path.exists(_FLOAT_COLS_PATH) else {}
+
+
+def _round_sql(name: str, body: str, digits: int | None) -> str:
+    """Round the oracle's floating columns the way ``rounded`` rounds the Spark ones."""
+    cols = FLOAT_COLUMNS.get(name)
+    if not cols or digits is None:
+        return body
+    rep = ", ".join(f'round("{c}", {digits}) as "{c}"' for c in cols)
+    return f"select * replace ({rep}) from (\n{body.strip()}\n) _q"
+
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round every floating column so both engines compare equal after summation-order noise."""
@@ -37,6 +51,6 @@ def query(name: str, sql: str | None = None, ctes: str = "", round_digits: int |
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_fixtures(sql, ctes)
+            ORACLE[name] = with_fixtures(_round_sql(name, sql, round_digits), ctes)
         return run
     return deco
