@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference pipeline reads and writes files in batch only: no stream source, trigger,
+watermark, window or stateful operator exists in it, so none is claimed here. The
+batch operators are plain DataFrame transformations; the stateless ones (scores,
+features, filters, parsing) apply unchanged to a ``readStream`` DataFrame.
+"""
