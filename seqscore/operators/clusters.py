@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqscore.functions.sequence import gc_content, seqid_index
+from seqscore.operators.ordered import global_quantiles, histogram_quantiles
 
 CLS = "ClsID"
 SCORE = "prediction_score"
@@ -95,14 +96,22 @@ def cluster_stats(df: DataFrame, value: str = SCORE, key: str = CLS) -> DataFram
 
 
 def cluster_profile(df: DataFrame, key: str = CLS) -> DataFrame:
-    """A3: min, mean, median, sample std, max of score and GC content per cluster."""
+    """A3: min, mean, median, sample std, max of score and GC content per cluster.
+    Medians are exact, from each cluster's value histogram (bounded-precision values),
+    so a huge cluster is never buffered in one task."""
     aggs = []
     for c, p in ((SCORE, "predictions"), ("gc_content", "gc_content")):
         aggs += [F.min(c).cast("double").alias(f"{p}_min"), F.avg(c).alias(f"{p}_mean"),
-                 F.median(c).alias(f"{p}_median"), F.stddev_samp(c).alias(f"{p}_std"),
-                 F.max(c).cast("double").alias(f"{p}_max")]
+                 F.stddev_samp(c).alias(f"{p}_std"), F.max(c).cast("double").alias(f"{p}_max")]
     aggs.append(F.count(F.lit(1)).alias("Count"))
-    return df.groupBy(key).agg(*aggs)
+    base = df.groupBy(key).agg(*aggs)
+    m1 = histogram_quantiles(df, [key], SCORE, {"predictions_median": 0.5})
+    m2 = histogram_quantiles(df, [key], "gc_content", {"gc_content_median": 0.5})
+    out = base.join(m1, key).join(m2, key)
+    cols = [key]
+    for p in ("predictions", "gc_content"):
+        cols += [f"{p}_min", f"{p}_mean", f"{p}_median", f"{p}_std", f"{p}_max"]
+    return out.select(*cols, "Count")
 
 
 def identity_sweep(tagged: DataFrame, lim: int = 2, key: str = CLS, perc: str = "Perc",
@@ -137,35 +146,31 @@ def singleton_report(df: DataFrame, key: str = CLS) -> DataFrame:
 
 def in_out_std(df: DataFrame, cols=(SCORE, "gc_content"), key: str = CLS, min_size: int = 2) -> DataFrame:
     """Population std inside each cluster (>= ``min_size`` rows) and over all rows
-    outside it, from per-cluster moments minus global totals (O(rows), one shuffle of
-    per-cluster partials). Moments are shifted by a per-column global mean for stability."""
-    g_aggs = [F.count(F.lit(1)).alias("_N")]
-    for c in cols:
-        g_aggs.append(F.avg(c).alias(f"_mu_{c}"))
-    # A single-row global aggregate: its values enter the expressions as literals.
-    g = df.agg(*g_aggs).first()
-    n_total = g["_N"]
+    outside it, in one pass over the rows: per-cluster (n, mean, M2) are merged into
+    global moments (Chan et al.) and the outside moments are the global ones minus the
+    cluster's. The global moments are scalar subqueries over the per-cluster table."""
     aggs = [F.count(F.lit(1)).alias("Count")]
     for c in cols:
-        x = F.col(c).cast("double") - F.lit(g[f"_mu_{c}"])
-        aggs += [F.sum(x).alias(f"_s_{c}"), F.sum(x * x).alias(f"_q_{c}")]
+        aggs += [F.avg(c).alias(f"_m_{c}"), (F.var_pop(c) * F.count(F.lit(1))).alias(f"_M2_{c}")]
     per = df.groupBy(key).agg(*aggs)
-    tot = df.agg(*[F.sum(F.col(c).cast("double") - F.lit(g[f"_mu_{c}"])).alias(f"_S_{c}") for c in cols],
-                 *[F.sum((F.col(c).cast("double") - F.lit(g[f"_mu_{c}"])) ** 2).alias(f"_Q_{c}") for c in cols]).first()
-    out = per.filter(F.col("Count") >= min_size)
+    N = per.select(F.sum("Count").cast("double")).scalar()
     sel = [F.col(key)]
     n = F.col("Count").cast("double")
-    n_out = F.lit(float(n_total)) - n
+    n_out = N - n
     for c in cols:
-        s, q = F.col(f"_s_{c}"), F.col(f"_q_{c}")
-        var_in = q / n - (s / n) ** 2
-        s_o, q_o = F.lit(tot[f"_S_{c}"]) - s, F.lit(tot[f"_Q_{c}"]) - q
-        var_out = q_o / n_out - (s_o / n_out) ** 2
+        mean = per.select((F.sum(F.col("Count") * F.col(f"_m_{c}")) / F.sum("Count")).alias("x")).scalar()
+        m2 = per.select(F.sum(F.col(f"_M2_{c}")).alias("a"), F.sum(F.col(f"_m_{c}") * F.col(f"_m_{c}") * F.col("Count")).alias("b"),
+                        F.sum(F.col(f"_m_{c}") * F.col("Count")).alias("s"), F.sum("Count").alias("n")) \
+            .select((F.col("a") + F.col("b") - F.col("s") * F.col("s") / F.col("n")).alias("x")).scalar()
+        mc, m2c = F.col(f"_m_{c}"), F.col(f"_M2_{c}")
+        mean_out = (N * mean - n * mc) / n_out
+        delta = mc - mean_out
+        m2_out = m2 - m2c - delta * delta * n * n_out / N
         name = "predictions" if c == SCORE else c
-        sel += [F.sqrt(F.greatest(var_in, F.lit(0.0))).alias(f"{name}_std"),
-                F.when(n_out > 0, F.sqrt(F.greatest(var_out, F.lit(0.0)))).alias(f"{name}_std_out")]
+        sel += [F.sqrt(F.greatest(m2c / n, F.lit(0.0))).alias(f"{name}_std"),
+                F.when(n_out > 0, F.sqrt(F.greatest(m2_out / n_out, F.lit(0.0)))).alias(f"{name}_std_out")]
     sel.append(F.col("Count"))
-    return out.select(*sel)
+    return per.filter(F.col("Count") >= min_size).select(*sel)
 
 
 def score_histogram(df: DataFrame, col: str = SCORE) -> DataFrame:
@@ -208,22 +213,21 @@ def sequences_per_score(df: DataFrame, lim: int = 10, key: str = CLS) -> DataFra
 
 
 def gc_by_score(df: DataFrame) -> DataFrame:
-    """GC distribution per score: min, quartiles (exact, linear), max, count."""
-    return df.groupBy(SCORE).agg(
-        F.min("gc_content").alias("gc_min"),
-        F.percentile("gc_content", 0.25).alias("gc_q1"),
-        F.percentile("gc_content", 0.5).alias("gc_median"),
-        F.percentile("gc_content", 0.75).alias("gc_q3"),
-        F.max("gc_content").alias("gc_max"),
-        F.count(F.lit(1)).alias("n"))
+    """GC distribution per score: min, quartiles (exact, linear, from the GC value
+    histogram of each score), max, count."""
+    base = df.groupBy(SCORE).agg(F.min("gc_content").alias("gc_min"), F.max("gc_content").alias("gc_max"),
+                                 F.count(F.lit(1)).alias("n"))
+    q = histogram_quantiles(df, [SCORE], "gc_content", {"gc_q1": 0.25, "gc_median": 0.5, "gc_q3": 0.75})
+    return base.join(q, SCORE).select(SCORE, "gc_min", "gc_q1", "gc_median", "gc_q3", "gc_max", "n")
 
 
 def quantile_cuts(stats: DataFrame, lo: float = 0.09, hi: float = 0.9,
                   col: str = "predictions_mean") -> DataFrame:
-    """Exact linear quantiles of cluster means, floored / ceiled into band limits."""
-    return stats.agg(F.percentile(col, lo).alias("q_low"), F.percentile(col, hi).alias("q_high")) \
-        .select("q_low", "q_high", F.floor("q_low").cast("int").alias("low"),
-                F.ceil("q_high").cast("int").alias("high"))
+    """Exact linear quantiles of cluster means (distributed ranks), floored / ceiled
+    into band limits."""
+    q = global_quantiles(stats, col, {"q_low": lo, "q_high": hi})
+    return q.select("q_low", "q_high", F.floor("q_low").cast("int").alias("low"),
+                    F.ceil("q_high").cast("int").alias("high"))
 
 
 def multi_membership(df: DataFrame, key: str = CLS, member: str = "seq_index") -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqscore.operators.ordered import cumulative_sum
+
 METRICS = ["accuracy", "f1", "precision", "recall", "TNR"]
 
 
@@ -65,10 +67,11 @@ def score_histogram(df: DataFrame, group: list[str], score: str, label: str = "l
 
 def roc_auc(df: DataFrame, group: list[str], score: str, label: str = "label") -> DataFrame:
     """AUC in rank form, (R1 - n1(n1+1)/2) / (n1 n0) with average ranks for ties,
-    computed as sum_s pos(s) * (neg(< s) + neg(s)/2) / (P N). NULL for a one-class group."""
+    computed as sum_s pos(s) * (neg(< s) + neg(s)/2) / (P N) over the per-group score
+    histogram; the running negative count is a distributed cumulative sum, so a group
+    with many distinct scores is not one task. NULL for a one-class group."""
     h = score_histogram(df, group, score, label)
-    w = Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("_neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    h = cumulative_sum(h, group, [score], ["neg"], ["_neg_below"], inclusive=False)
     agg = h.groupBy(*group).agg(
         F.sum(F.col("pos") * (F.col("_neg_below") + F.col("neg") / 2.0)).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -78,25 +81,24 @@ def roc_auc(df: DataFrame, group: list[str], score: str, label: str = "label") -
 
 def roc_curve(df: DataFrame, group: list[str], score: str, label: str = "label") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score (score >= threshold is
-    positive), by descending cumulative sums over the per-group histogram.
+    positive): descending cumulative sums over the per-group histogram (distributed).
     No intermediate points are dropped."""
     h = score_histogram(df, group, score, label)
-    w = Window.partitionBy(*group).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(*group)
-    h = h.select(*group, F.col(score).alias("threshold"),
-                 F.sum("pos").over(w).alias("_tp"), F.sum("neg").over(w).alias("_fp"),
-                 F.sum("pos").over(tot).alias("_P"), F.sum("neg").over(tot).alias("_N"))
-    return h.select(*group, "threshold", _div(F.col("_fp"), F.col("_N")).alias("fpr"),
+    tot = h.groupBy(*group).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    h = cumulative_sum(h, group, [score], ["pos", "neg"], ["_tp", "_fp"], inclusive=True, descending=True)
+    h = h.join(tot, group)
+    return h.select(*group, F.col(score).alias("threshold"), _div(F.col("_fp"), F.col("_N")).alias("fpr"),
                     _div(F.col("_tp"), F.col("_P")).alias("tpr"))
 
 
 def trapezoid_auc(curve: DataFrame, group: list[str]) -> DataFrame:
-    """Trapezoid area under (fpr, tpr) points, starting from (0, 0)."""
-    w = Window.partitionBy(*group).orderBy(F.desc("threshold"))
-    c = curve.withColumn("_pf", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) \
-             .withColumn("_pt", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)))
+    """Trapezoid area under a bounded (fpr, tpr) curve such as the threshold sweep,
+    points ordered by (fpr, tpr), starting from the first point."""
+    w = Window.partitionBy(*group).orderBy("fpr", "tpr")
+    c = curve.withColumn("_pf", F.lag("fpr").over(w)).withColumn("_pt", F.lag("tpr").over(w))
     return c.groupBy(*group).agg(
-        F.sum((F.col("fpr") - F.col("_pf")) * (F.col("tpr") + F.col("_pt")) / 2.0).alias("trapezoid_auc"))
+        F.coalesce(F.sum((F.col("fpr") - F.col("_pf")) * (F.col("tpr") + F.col("_pt")) / 2.0),
+                   F.lit(0.0)).alias("trapezoid_auc"))
 
 
 def grid_cell(score: Column, steps: int = 1000, tol: float = 1e-7) -> Column:

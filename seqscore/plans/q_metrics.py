@@ -141,20 +141,14 @@ def q_roc_curve(spark, d):
 
 
 @query("trapezoid_auc", """
-select test_on, sum((fpr - pf) * (tpr + pt) / 2.0) as trapezoid_auc from (
-  select test_on, fpr, tpr, coalesce(lag(fpr) over w, 0.0) as pf, coalesce(lag(tpr) over w, 0.0) as pt
-  from (select test_on, threshold, case when N > 0 then cast(fp as double) / cast(N as double) else 0.0 end as fpr,
-               case when P > 0 then cast(tp as double) / cast(P as double) else 0.0 end as tpr
-        from (select test_on, mean_proba as threshold,
-                     sum(pos) over (partition by test_on order by mean_proba desc rows between unbounded preceding and current row) as tp,
-                     sum(neg) over (partition by test_on order by mean_proba desc rows between unbounded preceding and current row) as fp,
-                     sum(pos) over (partition by test_on) as P, sum(neg) over (partition by test_on) as N
-              from (select test_on, mean_proba, sum(label) as pos, sum(1 - label) as neg from v_mean group by test_on, mean_proba) h) c) r
-  window w as (partition by test_on order by threshold desc)) t
-group by test_on""", _MEAN)
+select test_on, coalesce(sum((fpr - pf) * (tpr + pt) / 2.0), 0.0) as trapezoid_auc from (
+  select test_on, FPR as fpr, TPR as tpr, lag(FPR) over w as pf, lag(TPR) over w as pt
+  from v_sweep_m window w as (partition by test_on order by FPR, TPR)) t
+group by test_on""", ",\n".join([_MEAN, _SWEEP, _SWEEP_METRICS]))
 def q_trapezoid_auc(spark, d):
-    curve = M.roc_curve(E.mean_proba(B.eval_table(spark, d)), ["test_on"], "mean_proba")
-    return M.trapezoid_auc(curve, ["test_on"])
+    """Trapezoid area under the (FPR, TPR) points of the 1002-threshold sweep."""
+    sw = M.threshold_sweep(E.mean_proba(B.eval_table(spark, d)), ["test_on"], "mean_proba")
+    return M.trapezoid_auc(sw.select("test_on", F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr")), ["test_on"])
 
 
 @query("threshold_sweep", """

@@ -17,6 +17,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # HotSpot does not JIT methods over 8000 bytecodes; a whole-stage method above that
+    # runs interpreted and is slower than per-expression codegen, so fall back early.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Broadcast only what is provably small; pair tables decide for themselves.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

@@ -46,8 +46,13 @@ def _key_columns() -> list[Column]:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_index, ClsID, fam, ph, yh."""
-    return _orders(spark, sf_dir).select(*_key_columns())
+    """seq_index, ClsID, fam, ph, yh, thr (the family's prediction threshold digit).
+
+    ``thr`` is computed once per row so that each of the 27 predictions is a single
+    comparison; inlining the CASE into every prediction makes one generated method too
+    large for the JIT."""
+    k = _orders(spark, sf_dir).select(*_key_columns())
+    return k.withColumn("thr", F.when(F.col("fam") == 0, "6").when(F.col("fam") == 1, "3").otherwise("1"))
 
 
 def _sequence_expr() -> Column:
@@ -61,13 +66,9 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys(spark, sf_dir).select("seq_index", "ClsID", _sequence_expr().alias("sequence"))
 
 
-def _threshold() -> Column:
-    return F.when(F.col("fam") == 0, "6").when(F.col("fam") == 1, "3").otherwise("1")
-
-
 def _pred(pos) -> Column:
     ch = F.substring(F.col("ph"), pos, 1) if isinstance(pos, int) else F.expr(f"substr(ph, {pos}, 1)")
-    return F.when(ch >= _threshold(), 1).otherwise(0)
+    return (ch >= F.col("thr")).cast("int")
 
 
 def _proba(pos) -> Column:
@@ -91,7 +92,7 @@ def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     The 27-model grid is a literal array exploded per key row (a generator, no join)."""
     grid = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(m).alias("model"), F.lit(t).alias("train_on"))
                      for p, m, t in MODELS])
-    k = keys(spark, sf_dir).select("seq_index", "fam", "ph", F.inline(grid))
+    k = keys(spark, sf_dir).select("seq_index", "thr", "ph", F.inline(grid))
     return k.select("seq_index", "model", "train_on",
                     _pred("pos").alias("pred"), _proba("pos").alias("proba"))
 
