@@ -46,9 +46,11 @@ def cluster_histograms(df: DataFrame, value: str = SCORE, key: str = CLS, max_sc
     return per.select(key, "n", "s", "q", (F.col("s") / F.col("n")).alias("mean"), "med", "dev", *flat)
 
 
-def hist_columns(max_score: int = 24) -> list[str]:
-    """Per-cluster columns a pair needs from ``cluster_histograms``."""
-    return ["n", "s", "q", "dev"] + [f"h{i}" for i in range(max_score + 1)] + [f"cb{i}" for i in range(max_score + 1)]
+def hist_columns(max_score: int = 24, fligner: bool = True) -> list[str]:
+    """Per-cluster columns a pair needs from ``cluster_histograms`` (the deviation
+    histogram only for the Fligner-Killeen test)."""
+    cols = ["n", "s", "q"] + [f"h{i}" for i in range(max_score + 1)] + [f"cb{i}" for i in range(max_score + 1)]
+    return cols + (["dev"] if fligner else [])
 
 
 def band_of(mean: Column, low: float, high: float) -> Column:

@@ -93,21 +93,27 @@ def kmer_presence(seqs: DataFrame, wmin: int, wmax: int, group: list[str], col:
 def motif_counts(fg: DataFrame, bg: DataFrame, wmin: int = 8, wmax: int = 25, group: list[str] | None = None,
                  col: str = "sequence", key: str = "seq_index") -> DataFrame:
     """Per (group, k-mer): foreground / background sequence counts and set sizes."""
+    tagged = fg.withColumn("_role", F.lit("fg")).unionByName(bg.withColumn("_role", F.lit("bg")))
+    return motif_counts_tagged(tagged, "_role", wmin, wmax, group, col, key)
+
+
+def motif_counts_tagged(seqs: DataFrame, role: str = "role", wmin: int = 8, wmax: int = 25,
+                        group: list[str] | None = None, col: str = "sequence", key: str = "seq_index") -> DataFrame:
+    """``motif_counts`` over one table whose ``role`` column is 'fg' or 'bg': one k-mer
+    explosion and one partial aggregation give both counts (no fg x bg join). Rows are
+    made unique per (group, role, sequence) and k-mers distinct per sequence, so plain
+    counts are sequence counts."""
     g = group or []
-    # one row per (group, sequence) and distinct k-mers per sequence: plain counts are
-    # sequence counts (no distinct-aggregate expansion)
-    fg = fg.dropDuplicates([*g, key])
-    bg = bg.dropDuplicates([*g, key])
-    f = kmer_presence(fg, wmin, wmax, g, col, key).groupBy(*g, "kmer").agg(F.count(F.lit(1)).alias("fg_n"))
-    b = kmer_presence(bg, wmin, wmax, g, col, key).groupBy(*g, "kmer").agg(F.count(F.lit(1)).alias("bg_n"))
-    c = f.join(b, [*g, "kmer"], "left").fillna(0, ["bg_n"])
+    s = seqs.dropDuplicates([*g, role, key])
+    is_fg = (F.col(role) == "fg").cast("long")
+    e = kmer_presence(s, wmin, wmax, [*g, role], col, key)
+    c = e.groupBy(*g, "kmer").agg(F.sum(is_fg).alias("fg_n"), F.sum(1 - is_fg).alias("bg_n"))
+    sizes = s.groupBy(*g).agg(F.sum(is_fg).alias("N_fg"), F.sum(1 - is_fg).alias("N_bg")) if g else \
+        s.agg(F.sum(is_fg).alias("N_fg"), F.sum(1 - is_fg).alias("N_bg"))
     if g:
-        nf = fg.groupBy(*g).agg(F.count(F.lit(1)).alias("N_fg"))
-        nb = bg.groupBy(*g).agg(F.count(F.lit(1)).alias("N_bg"))
-        return c.join(F.broadcast(nf.join(nb, g)), g)  # one row per group
-    n_fg = fg.count()
-    n_bg = bg.count()
-    return c.withColumn("N_fg", F.lit(n_fg)).withColumn("N_bg", F.lit(n_bg))
+        return c.join(F.broadcast(sizes), g)  # one row per group
+    row = sizes.first()
+    return c.withColumn("N_fg", F.lit(row["N_fg"])).withColumn("N_bg", F.lit(row["N_bg"]))
 
 
 def enrichment(counts: DataFrame, group: list[str] | None = None, min_fg: int = 2) -> DataFrame:
@@ -171,6 +177,12 @@ def enriched_motifs(fg: DataFrame, bg: DataFrame, wmin: int = 8, wmax: int = 25,
     return select_motifs(enrichment(motif_counts(fg, bg, wmin, wmax, group), group), n, group)
 
 
+def enriched_motifs_tagged(seqs: DataFrame, role: str = "role", wmin: int = 8, wmax: int = 25, n: int = 10,
+                           group: list[str] | None = None) -> DataFrame:
+    """D16 over one role-tagged table (fg / bg rows)."""
+    return select_motifs(enrichment(motif_counts_tagged(seqs, role, wmin, wmax, group), group), n, group)
+
+
 def motif_hits(seqs: DataFrame, motifs: DataFrame, group: list[str] | None = None,
                col: str = "sequence", key: str = "seq_index") -> DataFrame:
     """D17 + W1: for every motif, the sequences it occurs in and its first position;

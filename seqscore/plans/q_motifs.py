@@ -29,9 +29,7 @@ def motif_sets(spark, d):
 
 
 def motifs(spark, d):
-    s = motif_sets(spark, d)
-    fg, bg = s.filter(F.col("role") == "fg"), s.filter(F.col("role") == "bg")
-    return MO.enriched_motifs(fg, bg, WMIN, WMAX, NMOT, G)
+    return MO.enriched_motifs_tagged(motif_sets(spark, d), "role", WMIN, WMAX, NMOT, G)
 
 
 _SETS = f"""
@@ -62,9 +60,7 @@ join (select grp, count(distinct case when role = 'fg' then seq_index end) as N_
              count(distinct case when role = 'bg' then seq_index end) as N_bg from v_sets group by grp) n on n.grp = f.grp
 where f.fg_n >= 2""", _SETS)
 def q_motif_counts(spark, d):
-    s = motif_sets(spark, d)
-    fg, bg = s.filter(F.col("role") == "fg"), s.filter(F.col("role") == "bg")
-    c = MO.motif_counts(fg, bg, WMIN, WMAX, G)
+    c = MO.motif_counts_tagged(motif_sets(spark, d), "role", WMIN, WMAX, G)
     return c.filter(F.col("fg_n") >= 2).select("grp", "kmer", "fg_n", "bg_n", "N_fg", "N_bg")
 
 
