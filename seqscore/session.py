@@ -20,8 +20,11 @@ DEFAULT_CONF = {
     # HotSpot does not JIT methods over 8000 bytecodes; a whole-stage method above that
     # runs interpreted and is slower than per-expression codegen, so fall back early.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Broadcast only what is provably small; pair tables decide for themselves.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Never broadcast on a planner estimate (estimates do not grow through explode /
+    # inline, so a 27x or 171x expanded table looks as small as its source). AQE
+    # broadcasts a side only after measuring its shuffle output.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
 
 
