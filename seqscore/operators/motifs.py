@@ -81,13 +81,18 @@ def _fisher_udf(a: pd.Series, K: pd.Series, n_fg: pd.Series, N: pd.Series) -> pd
 
 def kmer_presence(seqs: DataFrame, wmin: int, wmax: int, group: list[str], col: str = "sequence",
                   key: str = "seq_index") -> DataFrame:
-    """(group..., key, kmer) for every distinct k-mer of width wmin..wmax of a sequence."""
+    """(group..., key, kmer) for every distinct k-mer of width wmin..wmax of a sequence.
+
+    Widths and start positions are exploded ranges and the k-mer is a ``substr`` (all
+    generated code, no array lambdas); an occurrence is kept only where it is the first
+    one in its sequence (``instr(sequence, kmer) = start``), which makes k-mers distinct
+    per sequence without another shuffle."""
     n = F.length(col)
-    widths = F.sequence(F.lit(wmin), F.least(F.lit(wmax), n))
-    spans = F.flatten(F.transform(widths, lambda w: F.transform(
-        F.sequence(F.lit(1), n - w + 1), lambda i: F.col(col).substr(i, w))))
-    e = seqs.filter(n >= wmin).select(*group, key, F.explode(F.array_distinct(spans)).alias("kmer"))
-    return e
+    e = seqs.filter(n >= wmin).select(*group, key, col,
+                                      F.explode(F.sequence(F.lit(wmin), F.least(F.lit(wmax), n))).alias("_w"))
+    e = e.select(*group, key, col, "_w", F.explode(F.sequence(F.lit(1), F.length(col) - F.col("_w") + 1)).alias("_i"))
+    e = e.withColumn("kmer", F.expr(f"substr({col}, _i, _w)"))
+    return e.filter(F.expr(f"instr({col}, kmer) = _i")).select(*group, key, "kmer")
 
 
 def motif_counts(fg: DataFrame, bg: DataFrame, wmin: int = 8, wmax: int = 25, group: list[str] | None = None,
