@@ -20,7 +20,9 @@ def test_auc_with_ties_and_trapezoid(spark):
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, label int").withColumn("g", F.lit("x"))
     auc = M.roc_auc(df, ["g"], "score").first()["auc"]
     assert math.isclose(auc, _brute_auc(s, y), rel_tol=1e-12)
-    trap = M.trapezoid_auc(M.roc_curve(df, ["g"], "score"), ["g"]).first()["trapezoid_auc"]
+    curve = M.roc_curve(df, ["g"], "score")
+    start = spark.createDataFrame([("x", float("inf"), 0.0, 0.0)], "g string, threshold double, fpr double, tpr double")
+    trap = M.trapezoid_auc(curve.unionByName(start), ["g"]).first()["trapezoid_auc"]
     assert math.isclose(trap, auc, rel_tol=1e-12)
 
 
