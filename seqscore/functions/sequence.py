@@ -27,6 +27,14 @@ def kmers(col: str | Column, k: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+def explode_kmers(df, col: str, k: int, keys: list[str], with_pos: bool = False):
+    """Rows (keys..., [pos,] kmer) for every k-mer occurrence: an exploded position range
+    and ``substr`` (generated code, no array lambdas); nothing for sequences shorter than k."""
+    e = df.filter(F.length(col) >= k).select(*keys, col, F.explode(F.sequence(F.lit(1), F.length(col) - k + 1)).alias("pos"))
+    e = e.withColumn("kmer", F.expr(f"substr({col}, pos, {k})"))
+    return e.select(*keys, *(["pos"] if with_pos else []), "kmer")
+
+
 def kmer_positions(col: str | Column, k: int) -> Column:
     """``array<struct<pos:int, kmer:string>>`` of every k-mer with its 1-based start."""
     s = _c(col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqscore.functions.sequence import kmers
+from seqscore.functions.sequence import explode_kmers
 
 
 def split_union(splits: DataFrame, dataset: str) -> DataFrame:
@@ -59,7 +59,7 @@ def split_sizes(splits: DataFrame, splits_order=("dev", "test", "train")) -> Dat
 def kmer_counts(df: DataFrame, k: int, col: str = "sequence", by: list[str] | None = None) -> DataFrame:
     """K-mer frequencies, corpus-wide (or per ``by`` key): explode + partial aggregation."""
     keys = by or []
-    e = df.select(*keys, F.explode(kmers(col, k)).alias("kmer"))
+    e = explode_kmers(df, col, k, keys)
     return e.groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
