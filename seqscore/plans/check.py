@@ -16,12 +16,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+EXACT = False
+
+
 def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
+        if EXACT:
+            return v
         r = round(v, 6)
         return 0.0 if r == 0 else r
     if hasattr(v, "item"):
@@ -92,15 +97,19 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
 def main(argv=None):
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--exact", action="store_true", help="compare floats without rounding")
+    ap.add_argument("--oracle-only", action="store_true")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args(argv)
+    global EXACT
+    EXACT = a.exact
     sys.path.insert(0, ".")
     from seqscore.plans import all_queries
     from seqscore.session import get_spark
     qs, oracle = all_queries()
     spark = get_spark("local[8]", 8)
     con = duck_connect(a.sf)
-    names = a.names or list(qs)
+    names = a.names or [n for n in qs if not a.oracle_only or n in oracle]
     bad = 0
     for n in names:
         try:
