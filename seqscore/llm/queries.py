@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import table
 from seqscore.llm.sharding import shard_documents
 
@@ -22,3 +23,11 @@ def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards of near equal bytes, equal texts kept together."""
     return (shard_documents(table(spark, sf_dir, "documents"), 24)
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text by the rank file, decode the ids again, and hash both."""
+    import public_tokenizers as tokenizers
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                            tokenizers.PATTERN, digest=True)

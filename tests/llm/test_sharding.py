@@ -58,4 +58,4 @@ def test_whole_law(docs_of):
 
 def test_empty_and_single(docs_of):
     assert shard_documents(docs_of([]), 4).count() == 0
-    assert [(r.shard, r.slot, r["size"]) for r in shard_documents(docs_of([(1, None)]), 4).collect()] == [(0, 0, 8)]
+    assert [(r.slot, r["size"]) for r in shard_documents(docs_of([(1, None)]), 4).collect()] == [(0, 8)]
