@@ -55,25 +55,33 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        # what a run of bytes can be: (token or None, whether a longer token starts with it)
+        self.known: dict[bytes, tuple[int | None, bool]] = {t[:i]: (ranks.get(t[:i]), True) for t in ranks for i in range(1, len(t))}
+        for t, r in ranks.items():
+            self.known.setdefault(t, (r, False))
         self.edges: dict[tuple[int, int], list] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
-        self.state: list[tuple] = []  # (last emitted token or -1, pending bytes, last token at each pending boundary)
+        self.state: list[tuple] = []
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.rest: list[tuple[int, ...]] = []
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self._state(-1, b"", ())
-
-    def _state(self, prev: int, tail: bytes, lasts: tuple[int, ...]) -> int:
+        if len(self.pairs) > 4 * self.max_states:
+            self.pairs.clear()
+        self._state(-1, b"", ((0, ()),))
+
+    def _state(self, prev: int, tail: bytes, open_at: tuple[tuple[int, tuple[int, ...]], ...]) -> int:
+        """prev: last emitted token, -1 if none; tail: bytes not emitted; open_at: the
+        boundaries in tail from which a token may still reach on, each with the encoding of
+        the bytes before it; the last is the end of tail."""
         k = self.ids.get((prev, tail))
         if k is None:
             k = self.ids[prev, tail] = len(self.state)
-            self.state.append((prev, tail, lasts))
+            self.state.append((prev, tail, open_at))
             self.steps.append({})
-            self.rest.append(tuple(t for t, _ in self._chain(lasts, len(tail))))
+            self.rest.append(open_at[-1][1])
         return k
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -101,41 +109,39 @@ class Transducer:
             self.pairs[a, b] = ok
         return ok
 
-    def _chain(self, lasts: tuple[int, ...], end: int) -> list[tuple[int, int]]:
-        """(token, its end) of the encoding from the start of the pending bytes up to ``end``."""
-        out = []
-        while end > 0:
-            out.append((lasts[end - 1], end))
-            end -= len(self.bytes_of[lasts[end - 1]])
-        return out[::-1]
-
     def _grow(self, k: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        prev, tail, lasts = self.state[k]
+        prev, tail, open_at = self.state[k]
         tail += bytes((byte,))
-        n, last = len(tail), -1
-        for start in range(n):
-            before = lasts[start - 1] if start else prev
-            token = self.ranks.get(tail[start:]) if start == 0 or before >= 0 else None
-            if token is not None and self._follows(before, token):
-                last = token
-                break
-        lasts += (last,)
-        emitted: list[tuple[int, int]] = []
-        if tail not in self.prefixes:
-            open_ends = [j for j in range(1, n + 1) if lasts[j - 1] >= 0 and (j == n or tail[j:] in self.prefixes)]
-            chains = [self._chain(lasts, j) for j in open_ends]
-            for tokens in zip(*chains):
-                if len(set(tokens)) > 1:
-                    break
-                emitted.append(tokens[0])
-        if emitted:
-            prev, cut = emitted[-1]
-            held = []
-            for j in range(cut + 1, n + 1):
-                through = lasts[j - 1] >= 0 and any(end == cut for _, end in self._chain(lasts, j))
-                held.append(lasts[j - 1] if through else -1)
-            tail, lasts = tail[cut:], tuple(held)
-        step = self.steps[k][byte] = (self._state(prev, tail, lasts), tuple(t for t, _ in emitted))
+        kept, whole, known = [], None, self.known.get
+        for boundary in open_at:
+            found = known(tail[boundary[0]:])
+            if found is not None:
+                token, longer = found
+                if token is not None and whole is None:
+                    before = boundary[1]
+                    last = before[-1] if before else prev
+                    ok = self.pairs.get((last, token))
+                    if ok or ok is None and self._follows(last, token):
+                        whole = (*before, token)
+                if longer:
+                    kept.append(boundary)
+        kept.append((len(tail), whole))
+        emitted: tuple[int, ...] = ()
+        if kept[0][0]:
+            first = kept[0][1]
+            same = len(first)
+            for _, other in kept:
+                i, end = 0, min(same, len(other))
+                while i < end and other[i] == first[i]:
+                    i += 1
+                same = i
+            if same:
+                emitted, prev = first[:same], first[same - 1]
+                cut = 0
+                for t in emitted:
+                    cut += len(self.bytes_of[t])
+                tail, kept = tail[cut:], [(j - cut, x[same:]) for j, x in kept]
+        step = self.steps[k][byte] = (self._state(prev, tail, tuple(kept)), emitted)
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -152,16 +158,20 @@ class Transducer:
 
 
 class PieceCache(dict):
-    """piece -> its ids as bytes; short pieces are remembered until ``most`` are held."""
+    """piece -> its ids as bytes, for short pieces. When ``most`` are held they become the old
+    half; an old piece that is met again moves back, the others go when the next half is full."""
 
-    def __init__(self, transducer: Transducer, most: int = 300_000):
+    def __init__(self, transducer: Transducer, most: int = 250_000):
         super().__init__()
-        self.transducer, self.most = transducer, most
+        self.transducer, self.most, self.old = transducer, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
         if len(piece) <= 48:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
