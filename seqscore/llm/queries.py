@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import table
 from seqscore.llm.sharding import shard_documents
+from seqscore.llm.simhash import near_duplicates
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,3 +32,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
     return encode_documents(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                             tokenizers.PATTERN, digest=True)
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
