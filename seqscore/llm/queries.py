@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqscore.llm import langid, toxicity
 from seqscore.llm.bpe import encode_documents
-from seqscore.llm.common import table
+from seqscore.llm.common import held_out, table
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
 
@@ -39,3 +40,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles, linked at 3 or fewer differing bits."""
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, most=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from three of four documents, predicted for all."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.learn(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "coverage")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity learned from the labels of three of four documents, scored for all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = labels.where(~held_out()).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
+    found = toxicity.score(docs, toxicity.learn(labelled))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
