@@ -87,8 +87,8 @@ def noisy_or(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, importance: tuple[float, float] = (1.0, 1.0), rounds: int = 40,
-        rate: float = 0.5, support: float = 2.0, support_share: float = 0.01) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, importance: tuple[float, float] = (1.0, 1.0), rounds: int = 30,
+        rate: float = 0.5, support: float = 2.0, support_share: float = 0.08) -> Model:
     """Proximal Adagrad on the noisy-or likelihood of document labels, all documents a round.
     ``importance``: how many documents a clean and a toxic one stand for.
 
