@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqscore.llm import langid, toxicity
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import held_out, table
+from seqscore.llm.fingerprint import fingerprint_documents
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
 
@@ -57,3 +58,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = labels.where(~held_out()).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
     found = toxicity.score(docs, toxicity.learn(labelled))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
+
+
+@query
+def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text."""
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
