@@ -11,6 +11,7 @@ from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
+from seqscore.llm.suffixes import remove_repeats
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +65,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text."""
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of 50-byte strings that start in a document of smaller id."""
+    return remove_repeats(table(spark, sf_dir, "documents"), 50)
