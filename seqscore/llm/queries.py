@@ -9,6 +9,7 @@ from seqscore.llm import langid, toxicity
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
+from seqscore.llm.packing import pack_documents
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
 from seqscore.llm.suffixes import remove_repeats
@@ -71,3 +72,10 @@ def op5_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of 50-byte strings that start in a document of smaller id."""
     return remove_repeats(table(spark, sf_dir, "documents"), 50)
+
+
+@query
+def op3_pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers as tokenizers
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), 2048)
