@@ -52,7 +52,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], until: int = 1) -> list[bytes]:
 class Transducer:
     """Bytes in, token ids out, one piece at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         # what a run of bytes can be: (token or None, whether a longer token starts with it)
@@ -67,7 +67,6 @@ class Transducer:
         self.ids: dict[tuple, int] = {}
         self.state: list[tuple] = []
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.rest: list[tuple[int, ...]] = []
         if len(self.pairs) > 4 * self.max_states:
             self.pairs.clear()
         self._state(-1, b"", ((0, ()),))
@@ -81,7 +80,6 @@ class Transducer:
             k = self.ids[prev, tail] = len(self.state)
             self.state.append((prev, tail, open_at))
             self.steps.append({})
-            self.rest.append(open_at[-1][1])
         return k
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -144,16 +142,29 @@ class Transducer:
         step = self.steps[k][byte] = (self._state(prev, tail, tuple(kept)), emitted)
         return step
 
+    def _finish(self, k: int, byte: int) -> tuple[int, ...]:
+        """What is still to be emitted if the piece ends with ``byte``. Pieces are remembered
+        whole, so their last steps make no states."""
+        prev, tail, open_at = self.state[k]
+        tail += bytes((byte,))
+        for start, before in open_at:
+            token = self.ranks.get(tail[start:])
+            if token is not None and self._follows(before[-1] if before else prev, token):
+                return (*before, token)
+        raise ValueError("the ranks lack a single byte")
+
     def encode(self, piece: bytes) -> list[int]:
+        if not piece:
+            return []
         if len(self.state) > self.max_states:
             self._reset()
         k, out, steps = 0, [], self.steps
-        for byte in piece:
+        for byte in piece[:-1]:
             step = steps[k].get(byte) or self._grow(k, byte)
             k = step[0]
             if step[1]:
                 out += step[1]
-        out += self.rest[k]
+        out += self._finish(k, piece[-1])
         return out
 
 
@@ -161,7 +172,7 @@ class PieceCache(dict):
     """piece -> its ids as bytes, for short pieces. When ``most`` are held they become the old
     half; an old piece that is met again moves back, the others go when the next half is full."""
 
-    def __init__(self, transducer: Transducer, most: int = 250_000):
+    def __init__(self, transducer: Transducer, most: int = 300_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
