@@ -57,8 +57,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity learned from the labels of three of four documents, scored for all."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    labelled = labels.where(~held_out()).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
-    found = toxicity.score(docs, toxicity.learn(labelled))
+    found = toxicity.score(docs, toxicity.learn(docs, labels.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "offending")
 
 

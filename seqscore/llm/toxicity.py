@@ -129,14 +129,15 @@ def fit(texts: list[bytes], labels: np.ndarray, importance: tuple[float, float]
     return model
 
 
-def learn(labelled: DataFrame, most: int = 8_000, text: str = "text", label: str = "toxic") -> Model:
-    """A model from rows of (doc_id, text, label); rows with a null text or label teach
-    nothing. ``most`` bounds the rows learned from: beyond it about so many are chosen by a hash
-    of the id, half of them of either label where there are enough, and each stands for as many
-    as it was chosen from. The bounded sample is fitted in one task. Without rows of both labels
-    every score is 0 or 1, by the label that there is."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), (F.col(label) > 0).cast("int").alias("label"))
+def learn(docs: DataFrame, labels: DataFrame, most: int = 8_000, text: str = "text", label: str = "toxic") -> Model:
+    """A model from the texts of ``docs`` (doc_id, text) and ``labels`` (doc_id, label); rows
+    with a null id, text or label teach nothing. ``most`` bounds the labels learned from: beyond
+    it about so many are chosen by a hash of the id, half of them of either label where there
+    are enough, and each stands for as many as it was chosen from. Only the chosen ids meet the
+    texts, so the join broadcasts them; the sample is fitted in one task. Without labels of both
+    kinds every score is 0 or 1, by the one that there is."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Model(np.zeros(1 << BITS), 30.0 if counts.get(1) else -30.0)
@@ -144,7 +145,9 @@ def learn(labelled: DataFrame, most: int = 8_000, text: str = "text", label: str
     room[0] = min(counts[0], most - room[1])
     importance = (counts[0] / room[0], counts[1] / room[1])
     rate = F.when(F.col("label") == 1, 1 / importance[1]).otherwise(1 / importance[0])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    ids = rows.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    chosen = texts.join(F.broadcast(ids), "doc_id")  # about ``most`` ids, whatever the input
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"], kind="stable")
