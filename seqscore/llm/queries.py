@@ -9,6 +9,7 @@ from seqscore.llm import langid, toxicity
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
+from seqscore.llm.neighbours import search
 from seqscore.llm.packing import pack_documents
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
@@ -78,3 +79,9 @@ def op3_pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     import public_tokenizers as tokenizers
     return pack_documents(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), 2048)
+
+
+@query
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector."""
+    return search(table(spark, sf_dir, "embeddings"), 20, 20)
