@@ -6,9 +6,10 @@ halves' products with the two centroids, so a heap over the two sorted lists of
 yields the pairs of centroids in falling order of that sum. A query visits cells in this
 order until they hold enough entries, and those entries are ranked by the true product.
 
-Equal vectors are one entry with its smallest ids. A first-half centroid's entries form a
-group; large groups are cut into chunks, and a query goes to each chunk of the groups it
-visits. Chunks give their best entries, so nothing grows with a group.
+Equal vectors are one entry with its smallest ids. The entries of neighbouring first-half
+centroids form a group; large groups are cut into chunks, and a query goes to each chunk of
+the groups it visits, with one bit a cell. Chunks give their best entries, so nothing grows
+with a group.
 """
 
 from __future__ import annotations
@@ -70,8 +71,8 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.05, least: int = 2000, sample: int = 20_000,
-           chunk: int = 4096, codebook: int = 64, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3, least: int = 2000, sample: int = 20_000,
+           chunk: int = 8192, codebook: int = 256, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id is divisible
     by ``every``, among all rows but itself, by falling inner product (double), ties to the
     smaller id.
@@ -79,7 +80,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.05
     Null, empty or zero vectors and those with null or non-finite components take no part, nor
     do rows without id or of another length than most. Codebooks of up to ``codebook``
     centroids are fitted on about ``sample`` distinct vectors; every vector is indexed. A query
-    visits cells until they hold ``share`` of all distinct vectors, ``least`` at least. Rows that
+    visits cells until they hold ``share`` of all distinct vectors, ``least`` at least: vectors
+    without clusters need that much for a recall of 0.9. Rows that
     repeat an id and vector count once; an id with several vectors counts with each.
     """
     double = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -106,7 +108,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.05
     fitted = entries.where(F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(1 << 20)) <= rate * (1 << 20)).select("v").toArrow()["v"].combine_chunks()
     points = matrix(fitted)
     half = max(1, size.n // 2)
-    cells = max(1, min(codebook, int(total ** 0.5 / 3)))
+    cells = max(1, min(codebook, total // 2))
     books = [centroids(points[:, :half], cells, seed=11)]
     books.append(centroids(points[:, half:], cells, seed=12) if half < size.n else np.zeros((1, 0)))
     wide = len(books[1])
@@ -123,44 +125,36 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.05
     for r in indexed.groupBy("a", "b").count().collect():  # at most codebook squared
         counts[r.a, r.b] = r["count"]
     enough = max(least, int(share * total))
-    chunks = np.maximum(1, -(-counts.sum(axis=1) // chunk))
+    near = -(-len(books[0]) // max(1, min(len(books[0]), total // chunk)))  # first-half centroids in a group
+    groups = -(-len(books[0]) // near)
+    chunks = np.array([max(1, -(-int(counts[g * near:(g + 1) * near].sum()) // chunk)) for g in range(groups)])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked, vs, a, part, lists = [], [], [], [], []
             m = matrix(batch.column(1))
             x, y = m[:, :half] @ books[0].T, m[:, half:] @ books[1].T
-            for row, entry in enumerate(batch.column(0).to_pylist()):
-                by: dict[int, list[int]] = {}
-                for cell in visit(x[row], y[row], counts, enough):
-                    by.setdefault(cell // wide, []).append(cell % wide)
-                for i, js in by.items():
-                    for p in range(chunks[i]):
-                        asked.append(entry)
-                        vs.append(m[row])
-                        a.append(i)
-                        part.append(p)
-                        lists.append(js)
-                if len(asked) >= 4096:
-                    yield out(asked, vs, a, part, lists)
-                    asked, vs, a, part, lists = [], [], [], [], []
-            if asked:
-                yield out(asked, vs, a, part, lists)
-
-    def out(asked, vs, a, part, lists) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(list(vs), pa.list_(pa.float64())), pa.array(a, pa.int64()),
-                                           pa.array(part, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["asked", "v", "a", "part", "cells"])
+            for at in range(0, len(m), 64):
+                found: list[tuple] = []
+                for row in range(at, min(at + 64, len(m))):
+                    seen = np.zeros((groups * near, wide), bool)
+                    seen.ravel()[visit(x[row], y[row], counts, enough)] = True
+                    for g in range(groups):
+                        mine = seen[g * near:(g + 1) * near]
+                        if mine.any():
+                            found += [(batch.column(0)[row].as_py(), m[row].tolist(), g, p, np.packbits(mine).tobytes()) for p in range(chunks[g])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (
+                    pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64(), pa.binary()))], ["asked", "v", "g", "part", "cells"])
 
     def rank(have: pa.Table, want: pa.Table) -> pa.Table:
         result = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if have.num_rows and want.num_rows:
             e, q = matrix(have["v"].combine_chunks()), matrix(want["v"].combine_chunks())
-            ids, cell, asked = have["entry"].to_numpy(), have["b"].to_numpy(), want["asked"].to_numpy()
+            ids, asked = have["entry"].to_numpy(), want["asked"].to_numpy()
+            cell = have["a"].to_numpy() % near * wide + have["b"].to_numpy()
             parts = []
             for at in range(0, len(q), 512):
-                open_ = np.zeros((min(512, len(q) - at), wide), bool)
-                for row, js in enumerate(want["cells"][at:at + 512].to_pylist()):
-                    open_[row, js] = True
+                bits = np.frombuffer(b"".join(want["cells"][at:at + 512].to_pylist()), np.uint8)
+                open_ = np.unpackbits(bits.reshape(min(512, len(q) - at), -1), axis=1).astype(bool)
                 score = np.where(open_[:, cell], q[at:at + 512] @ e.T, -np.inf)
                 # all that reach the (k + 1)-th best of their row, ties and rounding included
                 nth = min(k + 1, len(ids))
@@ -175,11 +169,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.05
             result = [np.concatenate(x) for x in zip(*parts)]
         return pa.table({"asked": pa.array(result[0], pa.int64()), "entry": pa.array(result[1], pa.int64()), "score": pa.array(result[2], pa.float64())})
 
-    part = F.pmod(F.xxhash64("entry"), F.element_at(F.lit(chunks.tolist()), (F.col("a") + 1).cast("int")))
-    have = indexed.select("entry", "v", "a", part.alias("part"), "b")
+    part = F.pmod(F.xxhash64("entry"), F.element_at(F.lit(chunks.tolist()), (F.col("g") + 1).cast("int")))
+    have = indexed.withColumn("g", F.floor(F.col("a") / near).cast("long")).withColumn("part", part)
     want = (asking.select(F.col("asked").alias("entry")).distinct().join(entries, "entry").select("entry", "v")
-            .mapInArrow(ask, "asked long, v array<double>, a long, part long, cells array<long>"))
-    found = have.groupBy("a", "part").cogroup(want.groupBy("a", "part")).applyInArrow(rank, "asked long, entry long, score double")
+            .mapInArrow(ask, "asked long, v array<double>, g long, part long, cells binary"))
+    found = have.groupBy("g", "part").cogroup(want.groupBy("g", "part")).applyInArrow(rank, "asked long, entry long, score double")
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "entry")
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     spread = top.join(members, "entry").select("asked", "score", F.explode("ids").alias("vec_id"))

@@ -53,7 +53,7 @@ def test_recall_of_a_part(spark):
     rows = [(i, np.float32(middle[i % 30] + 0.5 * rng.normal(size=8)).tolist()) for i in range(3000)]
     want, hit, total = brute(rows, 20, 20), 0, 0
     got = {}
-    for r in neighbours.search(vectors(spark, rows), 20, share=0.1, least=300).collect():
+    for r in neighbours.search(vectors(spark, rows), 20, share=0.3, least=300, chunk=500).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     for q, best in want.items():
         hit += len(got[q] & {i for _, i in best})
