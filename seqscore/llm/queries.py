@@ -9,6 +9,7 @@ from seqscore.llm import langid, toxicity
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
+from seqscore.llm.html import extract
 from seqscore.llm.neighbours import search
 from seqscore.llm.packing import pack_documents
 from seqscore.llm.sharding import shard_documents
@@ -85,3 +86,9 @@ def op3_pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every 20th vector."""
     return search(table(spark, sf_dir, "embeddings"), 20, 20)
+
+
+@query
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
