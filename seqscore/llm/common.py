@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seqscore.session import cut_lineage, ensure_checkpoint_dir, table_path
 
-__all__ = ["cut_lineage", "ensure_checkpoint_dir", "table", "slices", "held_out", "utf8_buffers"]
+__all__ = ["cut_lineage", "ensure_checkpoint_dir", "table", "slices", "held_out", "select_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,17 +35,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(at, step)
 
 
-def utf8_buffers(column: pa.Array):
-    """(bytes, offsets) of a string or binary column as numpy arrays; null counts as empty."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    binary = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
-    if binary.null_count:
-        binary = pc.fill_null(binary, b"")
-    offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset:binary.offset + len(binary) + 1]
-    raw = binary.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    if not len(offsets):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+def select_rows(docs: DataFrame, wanted, text: str = "text", most: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``wanted(list of UTF-8 texts)``
+    is true; null text counts as empty. Nothing is shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, most):
+            bodies = [t.as_py() or b"" for t in batch.column(batch.schema.get_field_index(text)).cast(pa.binary())]
+            yield batch.filter(pa.array(wanted(bodies), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqscore.llm.common import slices
+from seqscore.llm.common import select_rows, slices
 
 SPACE = 0x20
 # bytes that are no letters become spaces, A-Z small letters; bytes of other scripts stay
@@ -140,32 +140,46 @@ def has_letter(body: bytes) -> bool:
     return any(map(str.isalpha, body.decode("utf-8", "replace")))
 
 
+def predict_texts(filters: Filters, bodies: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, coverage) of each text, see ``predict``."""
+    known = np.array([len(filters.languages) > 0 and has_letter(b) for b in bodies], bool)
+    shares = filters.shares(bodies) if filters.languages else np.zeros((len(bodies), 1))
+    every = np.arange(len(bodies))
+    top = shares.argmax(axis=1)
+    best = shares[every, top]
+    rest = shares.copy()
+    rest[every, top] = 0
+    score = best - rest.max(axis=1) / 2
+    return [filters.languages[k] if ok else "und" for k, ok in zip(top, known)], np.where(known, score, 0.0), np.where(known, best, 0.0)
+
+
 def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, coverage for every row of ``docs``.
 
     The language is the one with the highest corrected share of the text's n-grams, ties to
-    the first by name; coverage is that share, score is it times one minus half the ratio of
-    the runner-up's share to it. ``und`` with score 0 if the text is null or has no letter, or
-    nothing was learned. Whole texts are read; other columns are not.
+    the first by name; coverage is that share, score is it less half the runner-up's share.
+    ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Whole
+    texts are read; other columns are not.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f: Filters = shared.value
         for batch in slices(batches, "text", 4 << 20):
-            bodies = [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())]
-            known = np.array([len(f.languages) > 0 and has_letter(b) for b in bodies])
-            shares = f.shares(bodies) if f.languages else np.zeros((len(bodies), 1))
-            top = shares.argmax(axis=1)
-            best = shares[np.arange(len(bodies)), top]
-            rest = shares.copy()
-            rest[np.arange(len(bodies)), top] = 0
-            score = best - rest.max(axis=1) / 2
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([f.languages[k] if ok else "und" for k, ok in zip(top, known)], pa.string()),
-                pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, best, 0.0))],
-                ["doc_id", "lang_pred", "score", "coverage"])
+            names, score, coverage = predict_texts(shared.value, [t.as_py() or b"" for t in batch.column(1).cast(pa.binary())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(coverage)],
+                                             ["doc_id", "lang_pred", "score", "coverage"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, lang_pred string, score double, coverage double")
+
+
+def known_language(docs: DataFrame, filters: Filters, least: float = 0.2, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: not ``und``, and with at least
+    ``least`` of its n-grams known there."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def wanted(bodies: list[bytes]) -> list[bool]:
+        names, _, coverage = predict_texts(shared.value, bodies)
+        return [n != "und" and bool(c >= least) for n, c in zip(names, coverage)]
+
+    return select_rows(docs, wanted, text)

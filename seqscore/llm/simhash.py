@@ -59,16 +59,18 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (long, the 64 bits) of every row. Words are the text's runs without
-    ASCII white space, A-Z lowered. No words, or a null text: 0. Nothing is shuffled."""
+    """doc_id, hash (of the text), fingerprint (long, the 64 bits) of every row. Words are the
+    text's runs without ASCII white space, A-Z lowered. No words, or a null text: 0. Nothing is
+    shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            found = [text_hashes(t.as_py() or b"", width, seed) for t in batch.column(1).cast(pa.binary())]
+            found = [text_hashes(t.as_py() or b"", width, seed) for t in batch.column(2).cast(pa.binary())]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((h for x in found for h in x), np.uint64, int(counts.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority_bits(flat, counts).view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(majority_bits(flat, counts).view(np.int64))], ["doc_id", "hash", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).mapInArrow(
+        run, "doc_id long, hash long, fingerprint long")
 
 
 def gray_rank(words: np.ndarray) -> np.ndarray:
@@ -210,8 +212,27 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 3, seed: int =
     component unless all its ids are null. An empty table gives no rows.
     """
     rows = cut_lineage(fingerprints(docs, width, seed, text))
+    names, classes = _components(rows, most, group_rows)
+    return rows.join(classes.join(names, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def _components(rows: DataFrame, most: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(root, component_id, its text's hash) and (fingerprint, root)."""
     roots = link(rows, most, group_rows).withColumnRenamed("node", "fingerprint")
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(roots, "fingerprint", "left")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")  # null ids come last
+    classes = rows.groupBy("fingerprint").agg(F.min(first).alias("first")).join(roots, "fingerprint", "left")
     classes = classes.withColumn("root", F.coalesce("root", "fingerprint"))
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(classes.join(names, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    names = classes.groupBy("root").agg(F.min("first").alias("first"))
+    return names.select("root", F.col("first.doc_id").alias("component_id"), F.col("first.hash").alias("hash")), classes.select("fingerprint", "root")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, most: int = 3, seed: int = 42, text: str = "text",
+                group_rows: int = 4096) -> DataFrame:
+    """The rows of ``docs`` that name their component: one row of each group of near
+    duplicates stays, the one with the smallest id (of null ids only: with the smallest text
+    hash). Of rows that repeat id and text one stays. Texts are shuffled once."""
+    rows = cut_lineage(fingerprints(docs, width, seed, text))
+    kept = _components(rows, most, group_rows)[0].select(F.col("component_id").alias("_kept_id"), F.col("hash").alias("_kept_hash"))
+    marked = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_hash": F.xxhash64(text)})
+    found = marked.join(kept, marked["_own_id"].eqNullSafe(kept["_kept_id"]) & (marked["_own_hash"] == kept["_kept_hash"]), "left_semi")
+    return found.dropDuplicates(["_own_id", "_own_hash"]).drop("_own_id", "_own_hash")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqscore.llm.common import slices
+from seqscore.llm.common import select_rows, slices
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
@@ -188,3 +188,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, offending: floa
 
     return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, score double, predicted int, offending array<struct<start:long,stop:long,score:double>>")
+
+
+def harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def wanted(bodies: list[bytes]) -> list[bool]:
+        words, heads, _, _, counts = features(bodies)
+        return (noisy_or(shared.value.sentence_scores(words, heads), counts) < threshold).tolist()
+
+    return select_rows(docs, wanted, text, 2 << 20)
