@@ -23,8 +23,13 @@ DEFAULT_TRIALS = [(1, "low", "high", 0)] + [(1 + i, "mid", "high", i) for i in r
 def cluster_histograms(df: DataFrame, value: str = SCORE, key: str = CLS, max_score: int = 24) -> DataFrame:
     """One row per cluster: n, sum, sumsq, mean, histogram ``h`` (array<bigint>, one bin per
     integer score), counts below each bin ``cb``, median ``med`` (NumPy convention) and
-    the histogram of doubled absolute deviations from the median ``dev`` (2*max+1 bins)."""
+    the histogram of doubled absolute deviations from the median ``dev`` (2*max+1 bins).
+    ``max_score`` is the number of prediction columns summed (24, or 27 with the baseline set
+    kept); a score outside 0..max_score raises, null scores are not counted."""
     M = max_score
+    checked = F.when(F.col(value).between(0, M), F.col(value)).otherwise(F.raise_error(F.concat(
+        F.lit(f"score outside 0..{M}: "), F.col(value).cast("string"))).cast("int"))
+    df = df.filter(F.col(value).isNotNull()).withColumn(value, checked)
     c = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
     per = c.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(value).cast("int"), F.col("_c")))).alias("_m"),
@@ -64,11 +69,13 @@ def mid_hash(key: Column, seed: Column | int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit("|"), s.cast("string")))
 
 
-def top_k_per_group(df: DataFrame, group: list[str], order: Column, k: int, buckets: int = 64,
+def top_k_per_group(df: DataFrame, group: list[str], order: Column, k: int, buckets: int | None = None,
                     tiebreak: str = CLS) -> DataFrame:
     """The k smallest rows by ``order`` per group, in two rounds so that no task holds a
     whole group: top-k inside (group, hash bucket), then top-k of the survivors
-    (at most k * buckets rows per group)."""
+    (at most k * buckets rows per group). There are four buckets for each shuffle partition,
+    so their size follows the cluster's."""
+    buckets = buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = df.withColumn("_o", order).withColumn("_b", F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(buckets)))
     w1 = Window.partitionBy(*group, "_b").orderBy("_o", tiebreak)
     d = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
@@ -81,8 +88,7 @@ def cluster_bands(stats: DataFrame, low: float = 17, high: float = 21, nmid: int
                   seed: int = 0, mean: str = "mean", key: str = CLS) -> DataFrame:
     """Band per cluster and whether a mid cluster is in the seeded draw of ``nmid``."""
     b = stats.withColumn("band", band_of(F.col(mean), low, high))
-    mids = top_k_per_group(b.filter(F.col("band") == "mid").withColumn("_g", F.lit(1)), ["_g"],
-                           mid_hash(F.col(key), seed), nmid).select(key, F.lit(True).alias("_s"))
+    mids = b.filter(F.col("band") == "mid").orderBy(mid_hash(F.col(key), seed), key).limit(nmid).select(key, F.lit(True).alias("_s"))
     return b.join(mids, key, "left").withColumn(
         "drawn", F.when(F.col("band") == "mid", F.coalesce(F.col("_s"), F.lit(False))).otherwise(F.lit(True))).drop("_s")
 
@@ -103,9 +109,10 @@ def trial_members(hist: DataFrame, low: float = 17, high: float = 21, nmid: int
     return m.withColumn("side", F.when(F.col("band") == F.col("band_a"), "A").otherwise("B"))
 
 
-def _triangle_buckets(n_rows: int, target: int = 150, max_buckets: int = 256) -> int:
-    """About ``target`` members per bucket, i.e. ~target^2 pairs per join task."""
-    return max(1, min(max_buckets, math.ceil(n_rows / target)))
+def _triangle_buckets(n_rows: int, target: int = 600) -> int:
+    """About ``target`` members per bucket, i.e. ~target^2 pairs per join task; a member is
+    copied once per bucket."""
+    return max(1, math.ceil(n_rows / target))
 
 
 def cluster_pairs(members: DataFrame, buckets: int | None = None, key: str = CLS,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqscore.functions.sequence import gc_content, seqid_index
-from seqscore.operators.ordered import global_quantiles, histogram_quantiles
+from seqscore.operators.ordered import global_quantiles, histogram_quantiles, ranged
 
 CLS = "ClsID"
 SCORE = "prediction_score"
@@ -118,7 +118,8 @@ def identity_sweep(tagged: DataFrame, lim: int = 2, key: str = CLS, perc: str =
                    member: str = "seq_index") -> DataFrame:
     """A4 + P6: per identity threshold, total clusters and clusters below / at-or-above
     ``lim`` distinct members, with their percentages (rounded to 3, complement 100-x)."""
-    lim = max(lim, 2)
+    if lim < 2:
+        raise ValueError(f"lim must be 2 or more, not {lim}")
     per = tagged.groupBy(perc, key).agg(F.countDistinct(member).alias("_n"))
     out = per.groupBy(perc).agg(
         F.count(F.lit(1)).alias("total_clusters"),
@@ -183,6 +184,8 @@ def binned_histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
     Two passes: a one-row min/max aggregate, then a partial aggregation by bin."""
     mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if mm["lo"] is None:  # no values: no bins
+        return df.sparkSession.createDataFrame([], "bin int, bin_start double, bin_end double, frequency long")
     lo, hi = float(mm["lo"]), float(mm["hi"])
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.floor((F.col(col).cast("double") - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo if hi > lo else 1.0))
@@ -262,16 +265,11 @@ def top_clusters(df: DataFrame, n: int = 20, lim: int = 10, key: str = CLS,
     return df.join(F.broadcast(top), key, "left_semi")
 
 
-def dense_index(values: DataFrame, col: str, name: str = "rank", parts: int | None = None) -> DataFrame:
+def dense_index(values: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """Dense 1-based rank of the distinct values of ``col`` without a single-partition
-    window: range-partition, number rows inside each partition, add per-partition
-    offsets (a table with one row per partition, broadcast)."""
-    d = values.select(col).distinct()
-    if parts:
-        d = d.repartitionByRange(parts, col)
-    else:
-        d = d.repartitionByRange(col)
-    d = d.withColumn("_pid", F.spark_partition_id())
+    window: frozen range partitions, row numbers inside each, per-partition offsets (a table
+    with one row per partition, broadcast)."""
+    d = ranged(values.select(col).distinct(), F.col(col))
     d = d.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     cnt = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offs = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(

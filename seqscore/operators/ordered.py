@@ -1,18 +1,30 @@
 """Order statistics without single-task groups.
 
 - ``cumulative_sum``: running sums in (group, order) via range partitioning, local
-  window sums inside each partition and broadcast per-(partition, group) offsets;
+  window sums inside each partition and per-(partition, group) offsets;
 - ``histogram_quantiles``: exact linear-interpolation quantiles (``percentile`` /
   ``quantile_cont`` semantics) of a bounded-precision column from its value histogram,
   so a group's values are never buffered in one task;
 - ``global_quantiles``: exact quantiles of an arbitrary column from distributed ranks.
+
+Offsets are joined to rows by partition number. Two plans that range-partition the same rows
+may sample and coalesce differently, so the rows are frozen with their partition number
+(``ranged``) before any of them is counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqscore.session import cut_lineage
+
+
+def ranged(df: DataFrame, *by: Column) -> DataFrame:
+    """``df`` range-partitioned by ``by``, with the partition number ``_pid``, written once to
+    the shared checkpoint folder: every reader sees the same partition for a row."""
+    return cut_lineage(df.repartitionByRange(*by).withColumn("_pid", F.spark_partition_id()))
+
 
 def cumulative_sum(df: DataFrame, group: list[str], order: list[str], values: list[str], outs: list[str],
                    inclusive: bool = True, descending: bool = False) -> DataFrame:
@@ -20,7 +32,7 @@ def cumulative_sum(df: DataFrame, group: list[str], order: list[str], values: li
     (and, if ``inclusive``, at) each row in ``order``. Rows are expected unique per
     (group, order), e.g. a histogram over distinct scores."""
     ordc = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    d = df.repartitionByRange(*[F.col(g) for g in group], *ordc).withColumn("_pid", F.spark_partition_id())
+    d = ranged(df, *[F.col(g) for g in group], *ordc)
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     wl = Window.partitionBy("_pid", *group).orderBy(*ordc).rowsBetween(*frame)
     for v, o in zip(values, outs):
@@ -29,7 +41,7 @@ def cumulative_sum(df: DataFrame, group: list[str], order: list[str], values: li
     wo = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     for o in outs:
         tot = tot.withColumn(f"_off_{o}", F.coalesce(F.sum(f"_t_{o}").over(wo), F.lit(0)))
-    d = d.join(F.broadcast(tot.select("_pid", *group, *[f"_off_{o}" for o in outs])), ["_pid", *group])
+    d = d.join(tot.select("_pid", *group, *[f"_off_{o}" for o in outs]), ["_pid", *group])
     for o in outs:
         d = d.withColumn(o, F.col(f"_off_{o}") + F.col(f"_loc_{o}")).drop(f"_off_{o}", f"_loc_{o}")
     return d.drop("_pid")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 DIGITS = 6
+SMALL = re.compile(r"p_|.*_p$|p$|.*_adj$|e_?val", re.IGNORECASE)
 
 _FLOAT_COLS_PATH = os.path.join(os.path.dirname(__file__), "float_columns.json")
 FLOAT_COLUMNS: dict[str, list[str]] = json.load(open(_FLOAT_COLS_PATH)) if os.path.exists(_FLOAT_COLS_PATH) else {}
@@ -31,10 +33,11 @@ def _round_sql(name: str, body: str, digits: int | None) -> str:
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every floating column so both engines compare equal after summation-order noise."""
+    """Round every floating column so both engines compare equal after summation-order noise.
+    p- and E-values keep all digits: their small values are what matters."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
+        if isinstance(f.dataType, (DoubleType, FloatType)) and not SMALL.match(f.name):
             cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
