@@ -34,13 +34,14 @@ def big_cluster_scores(spark: SparkSession, d: str, lim: int = 2) -> DataFrame:
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    """v_stats: A2 over clusters with >= 2 members."""
-    return C.cluster_stats(big_cluster_scores(spark, d))
+    """v_stats: A2 over clusters with >= 2 members: one join, one aggregation, and the size
+    filter on the count that it gives."""
+    return C.cluster_stats(C.cluster_scores(X.membership(spark, d), X.scores(spark, d))).filter("Count >= 2")
 
 
 def eval_table(spark: SparkSession, d: str) -> DataFrame:
     """v_eval: long predictions with the test set and true label of each row."""
-    return X.pred_long(spark, d).join(X.labels(spark, d), "seq_index")
+    return X.pred_long(spark, d, beside=X.labels(spark, d))
 
 
 def sweep_membership(spark: SparkSession, d: str) -> DataFrame:

@@ -86,15 +86,20 @@ def pred_wide(spark: SparkSession, sf_dir: str, with_proba: bool = False) -> Dat
     return keys(spark, sf_dir).select(*cols)
 
 
-def pred_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical long predictions: seq_index, model, train_on, pred, proba.
+def pred_long(spark: SparkSession, sf_dir: str, beside: DataFrame | None = None) -> DataFrame:
+    """Canonical long predictions: seq_index, model, train_on, pred, proba, and the columns of
+    ``beside`` (joined on seq_index while there is one row per key).
 
     The 27-model grid is a literal array exploded per key row (a generator, no join)."""
     grid = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(m).alias("model"), F.lit(t).alias("train_on"))
                      for p, m, t in MODELS])
-    k = keys(spark, sf_dir).select("seq_index", "thr", "ph", F.inline(grid))
-    return k.select("seq_index", "model", "train_on",
-                    _pred("pos").alias("pred"), _proba("pos").alias("proba"))
+    k = keys(spark, sf_dir).select("seq_index", "thr", "ph")
+    extra = []
+    if beside is not None:
+        extra = [c for c in beside.columns if c != "seq_index"]
+        k = k.join(beside, "seq_index")
+    return k.select("*", F.inline(grid)).select("seq_index", "model", "train_on", _pred("pos").alias("pred"),
+                                                _proba("pos").alias("proba"), *extra)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,16 @@ def test_scores_outside_the_bound_raise(spark):
     assert bands._triangle_buckets(10 ** 6) > 256
 
 
+def test_blocks_equal_the_join_of_pairs(spark):
+    rows = [(c, int(v)) for c, m in enumerate(np.random.default_rng(2).integers(1, 9, 60)) for v in np.random.default_rng(c).integers(0, 25, m)]
+    h = bands.cluster_histograms(spark.createDataFrame(rows, "ClsID long, prediction_score int"))
+    m = bands.trial_members(h, 12, 14, 10, bands.DEFAULT_TRIALS[:2])
+    plain = stats.pair_statistics(bands.cluster_pairs(m, carry=stats.STAT_COLS))
+    cols = ["trial", "c1", "c2", "inter", "n1", "n2", "t_stat", "dof", "u_stat", "z_mw"]
+    show = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
+    assert [list(map(str, r)) for r in show(stats.pair_statistics_by_block(m, target=7))] == [list(map(str, r)) for r in show(plain)]
+
+
 def test_two_single_member_clusters(spark):
     h = bands.cluster_histograms(spark.createDataFrame([(1, 3), (2, 24)], "ClsID int, prediction_score int"))
     pairs = bands.cluster_pairs(bands.trial_members(h), carry=stats.HIST_COLS)
