@@ -10,7 +10,9 @@ apart to fill the gaps of the others, and the one that remains is cut at powers
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,30 +112,91 @@ def _powers(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
     return out
 
 
-_TOKENIZERS: dict = {}
+#: ASCII punctuation, which the tokenizer file splits from letters before it.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
-def token_ids(texts: list[bytes], path: str, most: int = 400_000) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers, for a tokenizer file
-    that drops white space: words between ASCII white space are encoded once and remembered,
-    at most ``most`` of them."""
-    if path not in _TOKENIZERS:
+#: How byte-level vocabularies write a byte as a letter: visible Latin-1 as itself, the others
+#: as the letters from 256 on, in order.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+class WordIds(dict):
+    """Token ids of words, for a tokenizer file that drops white space and lowers letters.
+
+    A word is looked up whole; a new one is cut into letters and the marks after them, where
+    the file's own splitting does the same (tried once on loading), so "Word", "word," and
+    "word." are encoded once. ASCII letters go to the file's merges directly, everything else
+    through the whole tokenizer. Tables of ``most`` entries are kept, the older half apart."""
+
+    def __init__(self, path: str, most: int = 250_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # each access would make a new wrapper
+        self.most = most
+        self.old, self.parts = {}, {}
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        tried = ["Abc", "hello", "ZZxqjv", "of", "Étré", "straße", "Ñandú", "привет", "ΟΔΟΣ", "日本", "e\u0301t"]
+        self.plain = all(self._merged(x.encode()) == array("I", ids(x)).tobytes() for x in tried if self._letters(x.encode())) \
+            and all(ids(x + m) == ids(x) + ids(m) for x in tried for m in (",", ".", "...", "!?", ")\"", "&&&"))
+
+    @staticmethod
+    def _letters(part: bytes) -> bool:
+        """Letters that stay letters when composed and lowered; marks may join what follows."""
+        return part.isalpha() or unicodedata.normalize("NFC", part.decode("utf-8", "replace")).lower().isalpha()
+
+    def _merged(self, part: bytes) -> bytes:
+        if part.isalpha():  # ASCII
+            part = part.lower()
+        else:
+            part = "".join([c.lower() for c in unicodedata.normalize("NFC", part.decode("utf-8", "replace"))]).encode()
+        return array("I", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if self.plain and self._letters(part):
+                ids = self._merged(part)
+            else:
+                ids = array("I", self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            self.parts[part] = ids
+        return ids
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            head = word.rstrip(MARKS) if self.plain else b""
+            if head.isalpha():  # ASCII
+                ids = self._part(head.lower())
+            elif head and self._letters(head):
+                ids = self._part(head)
+            else:
+                head, ids = word, self._part(word)
+            if len(head) < len(word):
+                ids += self._part(word[len(head):])
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def token_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Token ids of each text as unsigned 32-bit numbers: words between ASCII white space are
+    encoded once and remembered."""
+    if path not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _TOKENIZERS[path]
-    words = [t.split() for t in texts]
-    used = {w for x in words for w in x}
-    new = [w for w in used if w not in known]
-    if len(known) + len(new) > most:
-        known.clear()
-        new = list(used)
-    for at in range(0, len(new), 4096):
-        part = new[at:at + 4096]
-        for word, found in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, x)) for x in words]
+        _TOKENIZERS[path] = WordIds(path)
+    ids = _TOKENIZERS[path].__getitem__
+    return [b"".join(map(ids, t.split())) for t in texts]
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, text: str = "text",

@@ -49,6 +49,16 @@ def test_tokens_equal_the_library(text):
     assert got == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_words_and_marks_equal_the_library():
+    rng = random.Random(8)
+    words = packing.WordIds(PATH, most=300)
+    assert words.plain
+    for _ in range(30):
+        texts = ["".join(rng.choice(["Ab", "c", "é", "É", "ß", "'s", "'", "t", ",", ".", "!!", "1", "&", "ǅ", "İ", "’", "日", "´"]) for _ in range(rng.randrange(1, 8))) for _ in range(200)]
+        for t in texts:
+            assert np.frombuffer(words[t.encode()], "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t
+
+
 def test_documents(docs_of):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["alpha", "Beta", "don't", "é", "x9"]) for _ in range(rng.choice([0, 1, 30, 700, 5000]))) for _ in range(60)]
