@@ -87,6 +87,22 @@ def noisy_or(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _features_in_parts(texts: list[bytes], most: int = 1 << 20):
+    """(words, heads, counts) of ``features``, worked out for about ``most`` bytes at a time: what
+    it needs on the way is many times the text."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    cuts = np.unique(np.searchsorted(ends, np.arange(most, (ends[-1] if len(ends) else 0) + most, most), "right").clip(max=len(texts)))
+    words, heads, counts, held = [np.zeros((1 + len(PREFIXES), 0), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+        if a < b:
+            w, h, _, _, c = features(texts[a:b])
+            words.append(w)
+            heads.append(h + held)
+            counts.append(c)
+            held += w.shape[1]
+    return np.concatenate(words, axis=1), np.concatenate(heads), np.concatenate(counts)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, importance: tuple[float, float] = (1.0, 1.0), rounds: int = 30,
         rate: float = 0.5, support: float = 2.0, support_share: float = 0.08) -> Model:
     """Proximal Adagrad on the noisy-or likelihood of document labels, all documents a round.
@@ -97,7 +113,7 @@ def fit(texts: list[bytes], labels: np.ndarray, importance: tuple[float, float]
     ``support`` toxic documents and ``support_share`` of all: words backed by fewer keep weight
     zero, which keeps chance words of small samples and long clean sentences out. After
     ``rounds`` the words with a weight are fitted for as many rounds with a fifth of it."""
-    words, heads, _, _, counts = features(texts)
+    words, heads, counts = _features_in_parts(texts)
     toxic = labels > 0
     if not len(heads) or not toxic.any() or not counts[toxic].any():
         return Model(np.zeros(1 << BITS), -30.0)
