@@ -7,7 +7,6 @@ Every operator takes DataFrames and returns DataFrames. Sub-packages:
                  and the small NumPy helpers used inside pandas UDFs
 - ``operators``  relational, statistical, similarity, motif, metric and ML operators
 - ``plans``      the registered queries and their DuckDB oracle SQL
-- ``streaming``  incremental use of the batch operators (the reference has no streams)
 """
 
 __version__ = "0.1.0"

@@ -92,9 +92,9 @@ def q_qq_table(spark, d):
     """Every ordered value with its plotting position (r - 0.5) / n."""
     from seqscore.operators.models import row_numbers
     st = B.stats(spark, d).select("ClsID", F.col("predictions_mean").alias("value"))
-    n = st.agg(F.count(F.lit(1)).alias("n"))  # one row
+    n = st.count()
     ranked = row_numbers(st.withColumn("o", F.struct("value", "ClsID")), "o", "r").drop("o")
-    return ranked.crossJoin(F.broadcast(n)).select("ClsID", "value", ((F.col("r") + 0.5) / F.col("n")).alias("position"))
+    return ranked.select("ClsID", "value", ((F.col("r") + 0.5) / F.lit(n)).alias("position"))
 
 
 @query("density_table", """
@@ -103,8 +103,8 @@ from v_cs group by prediction_score""")
 def q_density_table(spark, d):
     """Share of rows per integer score (bin width 1)."""
     h = C.score_histogram(B.cluster_scores(spark, d)).withColumnRenamed("frequency", "n")
-    total = h.agg(F.sum("n").alias("t"))  # one row
-    return h.crossJoin(F.broadcast(total)).select("prediction_score", "n", (F.col("n") / F.col("t")).alias("density"))
+    total = h.agg(F.sum("n")).first()[0]
+    return h.select("prediction_score", "n", (F.col("n") / F.lit(total)).alias("density"))
 
 
 @query("point_lookup", """
@@ -122,8 +122,8 @@ from (select item_id, text, unnest(range(1, cast(m as bigint) + 1)) as pos
 def q_padding_mask(spark, d):
     """texts of up to 64 letters padded to the longest, with the mask of real letters."""
     t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", F.substring("text", 1, 64).alias("text"))
-    longest = t.agg(F.max(F.length("text")).alias("m"))  # one row
-    rows = t.crossJoin(F.broadcast(longest)).select("item_id", "text", F.explode(F.expr("sequence(1L, cast(m as bigint))")).alias("pos"))
+    longest = t.agg(F.max(F.length("text"))).first()[0] or 0
+    rows = t.select("item_id", "text", F.explode(F.sequence(F.lit(1), F.lit(max(longest, 1)))).cast("long").alias("pos"))
     return rows.select("item_id", "pos", F.expr("substr(text, cast(pos as int), 1)").alias("letter"), (F.col("pos") <= F.length("text")).alias("kept"))
 
 
