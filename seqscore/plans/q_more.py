@@ -123,7 +123,7 @@ def q_padding_mask(spark, d):
     """texts of up to 64 letters padded to the longest, with the mask of real letters."""
     t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", F.substring("text", 1, 64).alias("text"))
     longest = t.agg(F.max(F.length("text"))).first()[0] or 0
-    rows = t.select("item_id", "text", F.explode(F.sequence(F.lit(1), F.lit(max(longest, 1)))).cast("long").alias("pos"))
+    rows = t.select("item_id", "text", F.explode(F.expr(f"sequence(1L, {max(longest, 1)}L)")).alias("pos"))
     return rows.select("item_id", "pos", F.expr("substr(text, cast(pos as int), 1)").alias("letter"), (F.col("pos") <= F.length("text")).alias("kept"))
 
 
