@@ -172,6 +172,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3,
     part = F.pmod(F.xxhash64("entry"), F.element_at(F.lit(chunks.tolist()), (F.col("g") + 1).cast("int")))
     have = indexed.withColumn("g", F.floor(F.col("a") / near).cast("long")).withColumn("part", part)
     want = (asking.select(F.col("asked").alias("entry")).distinct().join(entries, "entry").select("entry", "v")
+            .repartition(max(1, -(-total // (64 * every))), "entry")  # walks over the heap cost more than their bytes tell
             .mapInArrow(ask, "asked long, v array<double>, g long, part long, cells binary"))
     found = have.groupBy("g", "part").cogroup(want.groupBy("g", "part")).applyInArrow(rank, "asked long, entry long, score double")
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "entry")
