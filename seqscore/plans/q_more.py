@@ -127,6 +127,24 @@ def q_padding_mask(spark, d):
     return rows.select("item_id", "pos", F.expr("substr(text, cast(pos as int), 1)").alias("letter"), (F.col("pos") <= F.length("text")).alias("kept"))
 
 
+@query("padding_batches", """
+select item_id, batch, pos, substr(text, cast(pos as bigint), 1) as letter, (pos <= length(text)) as kept
+from (select item_id, batch, text, unnest(range(1, cast(m as bigint) + 1)) as pos
+      from (select item_id, batch, text, max(length(text)) over (partition by batch) as m
+            from (select item_id, coalesce(text, '') as text,
+                         (row_number() over (order by length(coalesce(text, '')), item_id) - 1) // 64 as batch from benchmark) t) u) v""")
+def q_padding_batches(spark, d):
+    """whole texts padded to the longest of 64 of similar length, with the mask of real
+    letters. ``padding_mask`` and its SQL take the first 64 letters only."""
+    from seqscore.operators.models import row_numbers
+    t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    ranked = row_numbers(t.withColumn("o", F.struct(F.length("text").alias("n"), "item_id")), "o", "r")
+    batch = ranked.select("item_id", F.floor(F.col("r") / 64).cast("bigint").alias("batch"), "text")
+    m = F.max(F.length("text")).over(Window.partitionBy("batch"))  # 64 rows a batch
+    rows = batch.withColumn("m", m).where("m > 0").select("item_id", "batch", "text", F.explode(F.expr("sequence(1L, cast(m as bigint))")).alias("pos"))
+    return rows.select("item_id", "batch", "pos", F.expr("substr(text, cast(pos as int), 1)").alias("letter"), (F.col("pos") <= F.length("text")).alias("kept"))
+
+
 @query("metric_order", """
 select test_on, cast(row_number() over (partition by test_on order by n desc, model, train_on) as integer) as place, model, train_on, n
 from (select test_on, model, train_on, cast(sum(case when pred = label then 1 else 0 end) as bigint) as n from v_eval group by all) t""")
