@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqscore.llm import langid, toxicity
+from seqscore.llm import langid, oracles, toxicity
 from seqscore.llm.bpe import encode_documents
 from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
 from seqscore.llm.html import extract
+from seqscore.llm.merkle import manifest
 from seqscore.llm.neighbours import search
 from seqscore.llm.packing import pack_documents
+from seqscore.llm.runs import find_runs
 from seqscore.llm.sharding import shard_documents
 from seqscore.llm.simhash import near_duplicates
 from seqscore.llm.suffixes import remove_repeats
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_periodic_runs": oracles.PERIODIC_RUNS, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
 
 
 def query(fn):
@@ -92,3 +94,16 @@ def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words; some texts are made periodic first."""
+    return find_runs(table(spark, sf_dir, "documents"), loop=True)
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every row against the root, half of them with text that lost its line feeds."""
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    return manifest(table(spark, sf_dir, "documents"), fan=3, every=6, tampered=odd == 0)
