@@ -89,3 +89,26 @@ select c.doc_id, c.leaf, s.h as subroot, t.h as root, sha256(c.proof) as proof_s
 from climb c join subroots s on s.key = c.key join top t on t.n = 1
 where c.done
 """
+
+#: All pairs of texts that share a shingle, and the components of those that link.
+MINHASH_JOIN = """
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as words
+  from documents
+), s as (
+  select doc_id, list_distinct(list_transform(range(greatest(len(words) - 3, least(len(words), 1))), lambda i: array_to_string(words[i + 1:i + 4], ' '))) as grams from w
+), g as (
+  select doc_id, len(grams) as n, hash(unnest(grams)) as gram from s
+), links as (
+  select x.doc_id as a, y.doc_id as b from g x join g y on x.gram = y.gram and x.doc_id <> y.doc_id
+  group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach as (
+  select distinct a as doc_id, a as other from links
+  union
+  select r.doc_id, l.b from reach r join links l on l.a = r.other
+), least_id as (
+  select doc_id, min(other) as other from reach group by doc_id
+)
+select doc_id, len(grams) as n_shingles, least(doc_id, coalesce(other, doc_id)) as component_id, doc_id <= coalesce(other, doc_id) as kept
+from s left join least_id using (doc_id)
+"""

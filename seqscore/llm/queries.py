@@ -11,6 +11,7 @@ from seqscore.llm.common import held_out, table
 from seqscore.llm.fingerprint import fingerprint_documents
 from seqscore.llm.html import extract
 from seqscore.llm.merkle import manifest
+from seqscore.llm.minhash import near_documents
 from seqscore.llm.neighbours import search
 from seqscore.llm.packing import pack_documents
 from seqscore.llm.runs import find_runs
@@ -19,7 +20,9 @@ from seqscore.llm.simhash import near_duplicates
 from seqscore.llm.suffixes import remove_repeats
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {"op12_periodic_runs": oracles.PERIODIC_RUNS, "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
+ORACLE: dict[str, str] = {"op11_minhash_join": oracles.MINHASH_JOIN, 
+                          "op12_periodic_runs": oracles.PERIODIC_RUNS,
+                          "op13_merkle_manifest": oracles.MERKLE_MANIFEST}
 
 
 def query(fn):
@@ -96,6 +99,12 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose sets of 4-word shingles have a similarity of 0.8 or more."""
+    return near_documents(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words; some texts are made periodic first."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqscore.llm.common import cut_lineage, slices
-from seqscore.operators.components import connected_components
+from seqscore.llm.components import connected_components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
