@@ -3,10 +3,12 @@ best-scoring motif pairs."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqscore.operators import bands as BD
 from seqscore.operators import distance as D
+from seqscore.operators import matrices as MX
 from seqscore.operators import motifs as MO
 from seqscore.plans import base as B
 from seqscore.plans.registry import query
@@ -91,3 +93,76 @@ def q_best_motif_pairs(spark, d):
     hi = m.filter(F.col("grp") == "H_vs_M").select(F.col("motif").alias("motif_a"))
     lo = m.filter(F.col("grp") == "L_vs_M").select(F.col("motif").alias("motif_b"))
     return D.best_pairs(hi, lo, "motif_a", "motif_b", scoring="set3").select("motif_a", "motif_b", "align_score")
+
+
+SEED_WIDTH, SEEDS = 8, 5
+
+_SEEDS = _SETS + f""",
+v_seed as (
+  select grp, motif, cast(rn as integer) as rank from (
+    select grp, kmer as motif, row_number() over (partition by grp order by diff desc, kmer) as rn from (
+      select grp, kmer, count(distinct case when role = 'fg' then seq_index end) - count(distinct case when role = 'bg' then seq_index end) as diff
+      from v_km where length(kmer) = {SEED_WIDTH} group by grp, kmer) x where diff > 0) y where rn <= {SEEDS}),
+v_fg as (select distinct grp, seq_index, sequence from v_sets where role = 'fg' and length(sequence) >= {SEED_WIDTH}),
+v_sub as (select grp, seq_index, i, substr(sequence, cast(i as bigint), {SEED_WIDTH}) as site
+          from (select *, unnest(generate_series(1, length(sequence) - {SEED_WIDTH - 1})) as i from v_fg) t),
+v_count as (
+  select s.grp, s.rank, s.motif, p.pos, l.letter, cast(count(*) filter (substr(site, cast(p.pos as bigint), 1) = l.letter) as double) as n, count(*) as total
+  from v_sub b join v_seed s on s.grp = b.grp and hamming(b.site, s.motif) <= 1,
+       (select cast(unnest(generate_series(1, {SEED_WIDTH})) as integer) as pos) p, (select unnest(['A', 'C', 'G', 'T']) as letter) l
+  group by all),
+v_weight as (select *, cast(round(log2((n + 0.25) / ((total + 1.0) * 0.25)) * 1000.0) as bigint) as weight from v_count),
+v_scored as (
+  select b.grp, w.rank, w.motif, b.seq_index, b.i, sum(w.weight) as score
+  from v_sub b join v_weight w on w.grp = b.grp and w.letter = substr(b.site, cast(w.pos as bigint), 1) group by all),
+v_law as (
+  with recursive law(grp, rank, pos, score, words) as (
+    select distinct grp, rank, 0, cast(0 as bigint), cast(1 as bigint) from v_weight
+    union all
+    select l.grp, l.rank, l.pos + 1, l.score + w.weight, cast(sum(l.words) as bigint)
+    from law l join v_weight w on w.grp = l.grp and w.rank = l.rank and w.pos = l.pos + 1 group by l.grp, l.rank, l.pos, l.score + w.weight)
+  select grp, rank, score, sum(words) over (partition by grp, rank order by score desc) / pow(4.0, {SEED_WIDTH}) as p_site from law where pos = {SEED_WIDTH})"""
+
+
+def seed_motifs(spark, d):
+    """The ``SEEDS`` words of a group that are in most more foreground than background sequences."""
+    c = MO.motif_counts_tagged(motif_sets(spark, d), "role", SEED_WIDTH, SEED_WIDTH, G).withColumn("diff", F.col("fg_n") - F.col("bg_n")).where("diff > 0")
+    best = BD.top_k_per_group(c, G, -F.col("diff"), SEEDS, tiebreak="kmer")
+    w = Window.partitionBy(*G).orderBy(F.desc("diff"), "kmer")
+    return best.select(*G, F.col("kmer").alias("motif"), F.row_number().over(w).alias("rank"))
+
+
+def foreground(spark, d):
+    return motif_sets(spark, d).where("role = 'fg'").dropDuplicates([*G, "seq_index"])
+
+
+@query("seed_matrices", "select grp, rank, motif, pos, letter, n, weight from v_weight", _SEEDS)
+def q_seed_matrices(spark, d):
+    return MX.seed_matrices(foreground(spark, d), seed_motifs(spark, d), 1, G).select("grp", "rank", "motif", "pos", "letter", "n", "weight")
+
+
+@query("motif_sites", f"""
+select s.grp, s.rank, s.motif, s.seq_index, s.i as site_start, s.i + {SEED_WIDTH - 1} as site_end, cast(s.score as bigint) as site_score, l.p_site
+from v_scored s join v_law l on l.grp = s.grp and l.rank = s.rank and l.score = s.score
+qualify row_number() over (partition by s.grp, s.rank, s.seq_index order by s.score desc, s.i) = 1""", _SEEDS)
+def q_motif_sites(spark, d):
+    """The best site of every sequence under every seed matrix, and the exact chance of it."""
+    fg = foreground(spark, d)
+    return MX.motif_sites(fg, MX.seed_matrices(fg, seed_motifs(spark, d), 1, G), G).select(
+        "grp", "rank", "motif", "seq_index", "site_start", "site_end", "site_score", "p_site")
+
+
+@query("refined_motifs")
+def q_refined_motifs(spark, d):
+    """Seed matrices refined by expectation-maximisation, with their enrichment."""
+    rows = motif_sets(spark, d).dropDuplicates([*G, "role", "seq_index"])
+    fg = rows.where("role = 'fg'")
+    fitted = MX.refine(fg, MX.seed_matrices(fg, seed_motifs(spark, d), 1, G), 8, G)
+    found = MX.motif_sites(rows.where("role = 'fg'"), fitted, G).withColumn("role", F.lit("fg")).unionByName(
+        MX.motif_sites(rows.where("role = 'bg'"), fitted, G).withColumn("role", F.lit("bg")))
+    sizes = rows.groupBy(*G).agg(*[F.sum((F.col("role") == r).cast("long")).alias(f"N_{r}") for r in ("fg", "bg")])
+    w = F.max(F.struct("n", "letter"))
+    consensus = fitted.groupBy(*G, "rank", "pos").agg(w.alias("top")).groupBy(*G, "rank").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "top.letter"))), lambda x: x["letter"]), "").alias("consensus"))
+    return MX.matrix_enrichment(found, sizes, group=G).join(consensus, [*G, "rank"]).select(
+        "grp", "rank", "motif", "consensus", "fg_n", "bg_n", "N_fg", "N_bg", "p_value", "E_value")
