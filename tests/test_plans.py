@@ -27,9 +27,12 @@ def test_no_python_or_cartesian(spark, name):
         assert bad not in plan, (name, bad)
 
 
-def test_pvalues_use_arrow_udf(spark):
-    plan = _plan(QUERIES["pair_fligner"](spark, SF))
-    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+@pytest.mark.parametrize("name", ["pair_ttest", "pair_mannwhitney", "pair_fligner", "pair_wilcoxon", "significant_pairs"])
+def test_pairs_meet_in_blocks(spark, name):
+    """Pair tests are array operations on two blocks of members: no pair is joined, no row goes
+    through Python on its own."""
+    plan = _plan(QUERIES[name](spark, SF))
+    assert "FlatMapCoGroupsInArrow" in plan and "EvalPython" not in plan and "SortMergeJoin [trial" not in plan
 
 
 def test_status_filter_pushed_to_parquet(spark, tmpdir_fresh):
