@@ -9,7 +9,8 @@ boundaries share a first part, which no later byte can change. That part is emit
 
 A state is therefore (last emitted token, bytes not yet emitted); the bytes are few, being
 bounded by the longest token. States and transitions are made when first met and shared by
-all pieces; when ``max_states`` are held, the table is dropped and built anew.
+all pieces; when ``max_states`` are held, the table is dropped and built anew, inside a piece
+too, from the state the piece is in.
 
 Decoding is a stream too: tokens may end inside a character, so a small UTF-8 machine holds
 back the bytes of an unfinished character until the rest arrives.
@@ -18,6 +19,8 @@ back the bytes of an unfinished character until the rest arrives.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -55,6 +58,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        self.single = [bytes((b,)) for b in range(256)]
         # what a run of bytes can be: (token or None, whether a longer token starts with it)
         self.known: dict[bytes, tuple[int | None, bool]] = {t[:i]: (ranks.get(t[:i]), True) for t in ranks for i in range(1, len(t))}
         for t, r in ranks.items():
@@ -66,11 +71,17 @@ class Transducer:
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.state: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # of state and byte
         if len(self.pairs) > 4 * self.max_states:
             self.pairs.clear()
         self._state(-1, b"", ((0, ()),))
 
+    def _anew(self, k: int) -> int:
+        """Drops the table but for the state that a piece is in."""
+        held = self.state[k]
+        self._reset()
+        return self._state(*held)
+
     def _state(self, prev: int, tail: bytes, open_at: tuple[tuple[int, tuple[int, ...]], ...]) -> int:
         """prev: last emitted token, -1 if none; tail: bytes not emitted; open_at: the
         boundaries in tail from which a token may still reach on, each with the encoding of
@@ -79,7 +90,6 @@ class Transducer:
         if k is None:
             k = self.ids[prev, tail] = len(self.state)
             self.state.append((prev, tail, open_at))
-            self.steps.append({})
         return k
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -101,69 +111,94 @@ class Transducer:
         their border has its turn before one that uses up the part on either side."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            ok = bool(self._edge(b, 0)) and (a < 0 or not any(
-                (r := self.ranks.get(x + y)) is not None and r < x_used and r <= y_used
-                for x, x_used in self._edge(a, -1) for y, y_used in self._edge(b, 0)))
-            self.pairs[a, b] = ok
+            ok = self.pairs[a, b] = self._apart(a, b)
         return ok
 
+    def _apart(self, a: int, b: int) -> bool:
+        right = self.edges.get((b, 0))
+        if right is None:
+            right = self._edge(b, 0)
+        if not right:
+            return False
+        if a < 0:
+            return True
+        left = self.edges.get((a, -1))
+        if left is None:
+            left = self._edge(a, -1)
+        known, rank, first = self.known, self.ranks.get, right[-1][0]  # all parts on the right begin with the last, one byte
+        for x, x_used in left:
+            if x + first in known:
+                for y, y_used in right:
+                    r = rank(x + y)
+                    if r is not None and r < x_used and r <= y_used:
+                        return False
+        return True
+
     def _grow(self, k: int, byte: int) -> tuple[int, tuple[int, ...]]:
         prev, tail, open_at = self.state[k]
-        tail += bytes((byte,))
-        kept, whole, known = [], None, self.known.get
+        tail += self.single[byte]
+        kept, whole, known, pairs = [], None, self.known.get, self.pairs
         for boundary in open_at:
-            found = known(tail[boundary[0]:])
+            start, before = boundary
+            found = known(tail[start:] if start else tail)
             if found is not None:
                 token, longer = found
                 if token is not None and whole is None:
-                    before = boundary[1]
-                    last = before[-1] if before else prev
-                    ok = self.pairs.get((last, token))
-                    if ok or ok is None and self._follows(last, token):
+                    pair = (before[-1] if before else prev, token)
+                    ok = pairs.get(pair)
+                    if ok is None:
+                        ok = pairs[pair] = self._apart(*pair)
+                    if ok:
                         whole = (*before, token)
                 if longer:
                     kept.append(boundary)
         kept.append((len(tail), whole))
         emitted: tuple[int, ...] = ()
-        if kept[0][0]:
-            first = kept[0][1]
+        first = kept[0][1]
+        if kept[0][0] and first:
             same = len(first)
-            for _, other in kept:
-                i, end = 0, min(same, len(other))
-                while i < end and other[i] == first[i]:
-                    i += 1
-                same = i
+            for _, other in kept[1:]:
+                if other[:same] != first[:same]:
+                    i, end = 0, min(same, len(other))
+                    while i < end and other[i] == first[i]:
+                        i += 1
+                    same = i
             if same:
                 emitted, prev = first[:same], first[same - 1]
-                cut = 0
-                for t in emitted:
-                    cut += len(self.bytes_of[t])
+                cut = sum([self.size[t] for t in emitted])
                 tail, kept = tail[cut:], [(j - cut, x[same:]) for j, x in kept]
-        step = self.steps[k][byte] = (self._state(prev, tail, tuple(kept)), emitted)
+        step = self.steps[k << 8 | byte] = (self._state(prev, tail, tuple(kept)), emitted)
         return step
 
     def _finish(self, k: int, byte: int) -> tuple[int, ...]:
         """What is still to be emitted if the piece ends with ``byte``. Pieces are remembered
         whole, so their last steps make no states."""
         prev, tail, open_at = self.state[k]
-        tail += bytes((byte,))
+        tail += self.single[byte]
+        rank, pairs = self.ranks.get, self.pairs
         for start, before in open_at:
-            token = self.ranks.get(tail[start:])
-            if token is not None and self._follows(before[-1] if before else prev, token):
-                return (*before, token)
+            token = rank(tail[start:] if start else tail)
+            if token is not None:
+                pair = (before[-1] if before else prev, token)
+                ok = pairs.get(pair)
+                if ok is None:
+                    ok = pairs[pair] = self._apart(*pair)
+                if ok:
+                    return (*before, token)
         raise ValueError("the ranks lack a single byte")
 
     def encode(self, piece: bytes) -> list[int]:
         if not piece:
             return []
-        if len(self.state) > self.max_states:
-            self._reset()
-        k, out, steps = 0, [], self.steps
-        for byte in piece[:-1]:
-            step = steps[k].get(byte) or self._grow(k, byte)
-            k = step[0]
-            if step[1]:
-                out += step[1]
+        k, out, known = 0, [], self.steps.get
+        for at in range(0, len(piece) - 1, 64):
+            if len(self.state) > self.max_states:
+                k, known = self._anew(k), self.steps.get
+            for byte in piece[at:min(at + 64, len(piece) - 1)]:
+                step = known(k << 8 | byte) or self._grow(k, byte)
+                k = step[0]
+                if step[1]:
+                    out += step[1]
         out += self._finish(k, piece[-1])
         return out
 
@@ -172,7 +207,7 @@ class PieceCache(dict):
     """piece -> its ids as bytes, for short pieces. When ``most`` are held they become the old
     half; an old piece that is met again moves back, the others go when the next half is full."""
 
-    def __init__(self, transducer: Transducer, most: int = 300_000):
+    def __init__(self, transducer: Transducer, most: int = 400_000):
         super().__init__()
         self.transducer, self.most, self.old = transducer, most, {}
 
@@ -227,11 +262,30 @@ class Utf8Machine:
         return out
 
 
-def decode_stream(chunks: Iterator[list[int]], bytes_of: dict[int, bytes]) -> Iterator[str]:
+class TokenBytes:
+    """The bytes of all tokens in one array, to look up many ids at once."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        n = max(bytes_of, default=-1) + 1
+        self.size = np.array([len(bytes_of.get(i, b"")) for i in range(n)], np.int32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.raw = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(n)), np.uint8)
+
+    def __call__(self, ids) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        end = np.cumsum(size, dtype=np.int32)
+        place = np.arange(end[-1] if len(end) else 0, dtype=np.int32)
+        place += np.repeat(self.start[ids] - (end - size), size)
+        return self.raw[place].tobytes()
+
+
+def decode_stream(chunks: Iterator[np.ndarray | list[int]], token_bytes: TokenBytes | dict[int, bytes]) -> Iterator[str]:
     """Text of a stream of id lists, each part as soon as its characters are whole."""
+    look_up = token_bytes if isinstance(token_bytes, TokenBytes) else TokenBytes(token_bytes)
     machine = Utf8Machine()
     for ids in chunks:
-        yield machine.feed(b"".join(map(bytes_of.__getitem__, ids)))
+        yield machine.feed(look_up(ids))
     yield machine.close()
 
 
@@ -244,10 +298,23 @@ def _coder(path: str, pattern: str):
         import regex
         _LOADED.clear()
         transducer = Transducer(read_ranks(path))
-        _LOADED[path, pattern] = regex.compile(pattern), PieceCache(transducer), transducer.bytes_of
+        _LOADED[path, pattern] = regex.compile(pattern), PieceCache(transducer), TokenBytes(transducer.bytes_of)
     return _LOADED[path, pattern]
 
 
+@contextlib.contextmanager
+def _no_collection():
+    """States and tokens hold no circles, so looking for such after every few hundred new ones
+    finds nothing and costs more than making them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def encode_text(text: str, path: str, pattern: str) -> np.ndarray:
     """Token ids of a text, each match of ``pattern`` encoded separately."""
     split, cache, _ = _coder(path, pattern)
@@ -265,20 +332,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     ddl = "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = _coder(path, pattern)[2]
+        token_bytes = _coder(path, pattern)[2]
         for batch in slices(batches, "text"):
             found: list[list] = [[] for _ in fields]
-            for raw in batch.column(1).cast(pa.binary()):
-                body = (raw.as_py() or b"").decode("utf-8", "replace")
-                ids = encode_text(body, path, pattern)
-                if not digest:
-                    found[0].append(ids.astype(np.int32))
-                    continue
-                decoded = hashlib.sha256()
-                for part in decode_stream((ids[i:i + chunk].tolist() for i in range(0, len(ids), chunk)), bytes_of):
-                    decoded.update(part.encode())
-                for column, value in zip(found, (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest())):
-                    column.append(value)
+            with _no_collection():
+                for raw in batch.column(1).cast(pa.binary()):
+                    body = (raw.as_py() or b"").decode("utf-8", "replace")
+                    ids = encode_text(body, path, pattern)
+                    if not digest:
+                        found[0].append(ids.astype(np.int32))
+                        continue
+                    decoded = hashlib.sha256()
+                    for part in decode_stream((ids[i:i + chunk] for i in range(0, len(ids), chunk)), token_bytes):
+                        decoded.update(part.encode())
+                    for column, value in zip(found, (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest())):
+                        column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(found, fields))],
                                              schema=pa.schema([pa.field("doc_id", pa.int64()), *fields]))
 

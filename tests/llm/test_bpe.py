@@ -38,6 +38,33 @@ def test_long_pieces_and_bounded_table():
     assert max(len(t) for _, t, _ in TABLE.state) <= 2 * max(map(len, RANKS))
 
 
+def test_one_long_piece_keeps_to_the_bound():
+    """A piece of a million letters, each of them making states of its own."""
+    small = bpe.Transducer(RANKS, max_states=1000)
+    rng = random.Random(5)
+    word = "".join(rng.choice("tionersandlcmp") for _ in range(1_000_000))
+    held = []
+    grow = small._anew
+    small._anew = lambda k: held.append(len(small.state)) or grow(k)
+    ids = small.encode(word.encode())
+    assert b"".join(map(small.bytes_of.__getitem__, ids)) == word.encode()
+    assert len(held) > 100 and max(held) <= 1000 + 64 + 1 and len(small.state) <= 1065
+    part = word[:20_000]
+    assert small.encode(part.encode()) == ENC.encode_ordinary(part)
+
+
+def test_token_bytes():
+    look_up = bpe.TokenBytes(TABLE.bytes_of)
+    ids = [5, 300, 17, 49_000, 5]
+    assert look_up(ids) == b"".join(TABLE.bytes_of[i] for i in ids) and look_up([]) == b""
+
+
+def test_null_ids_and_long_pieces(docs_of):
+    rows = [(None, "some text"), (None, None), (4, "ab" * 100_000)]
+    got = {(r.doc_id, r.n_tokens) for r in bpe.encode_documents(docs_of(rows), PATH, P.PATTERN, digest=True).collect()}
+    assert got == {(i, len(ENC.encode_ordinary(t or ""))) for i, t in rows}
+
+
 @given(st.text(max_size=40), st.lists(st.integers(0, 160), max_size=8))
 def test_stream_decode_round_trip(text, cuts):
     data = text.encode()
