@@ -25,6 +25,9 @@ from seqscore.llm.common import slices
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
              "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+#: Levels that a paragraph's points climb: the share beyond is under a hundredth, and a page of
+#: deeply nested elements stays linear.
+REACH = 32
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = set("p pre blockquote tr dd div section article main body figcaption td".split())
 # what a start tag closes, if it is open in the same list or table
@@ -177,11 +180,12 @@ def main_text(html: str) -> str:
         node.dropped = node.parent is not None and (node.parent.dropped or _boilerplate(node, holds))
     # lists and boxes that are mostly links
     for block, text, linked in _blocks([tree.root]):
-        node = block
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            node = node.parent
+        block.chars += len(text)
+        block.linked += linked
+    for node in reversed(tree.nodes):  # a node comes after the one that holds it
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
     for node in tree.nodes:
         if node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.chars and node.linked > 0.66 * node.chars \
                 and id(node) not in holds and sum(1 for c in _links(node, 3)) >= 3:
@@ -196,7 +200,7 @@ def main_text(html: str) -> str:
             continue
         points = (1 + text.count(",") + text.count("、") + text.count("，") + min(len(text) // 100, 3)) * (1 - linked / len(text))
         node, level = block.parent if block.tag in ("p", "pre", "blockquote", "tr", "dd", "td", "figcaption") else block, 0
-        while node is not None:
+        while node is not None and level < REACH:
             node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             node, level = node.parent, level + 1
     best, most = None, 0.0

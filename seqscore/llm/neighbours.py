@@ -72,13 +72,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3, least: int = 2000, sample: int = 20_000,
-           chunk: int = 8192, codebook: int = 256, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+           chunk: int = 8192, codebook: int = 256, most_lengths: int = 64, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose id is divisible
     by ``every``, among all rows but itself, by falling inner product (double), ties to the
     smaller id.
 
     Null, empty or zero vectors and those with null or non-finite components take no part, nor
-    do rows without id or of another length than most. Codebooks of up to ``codebook``
+    do rows without id. Vectors of several lengths have no product, so each length is a search
+    of its own, one after another (``most_lengths`` of them; more raise). Codebooks of up to ``codebook``
     centroids are fitted on about ``sample`` distinct vectors; every vector is indexed. A query
     visits cells until they hold ``share`` of all distinct vectors, ``least`` at least: vectors
     without clusters need that much for a recall of 0.9. Rows that
@@ -88,11 +89,18 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3,
     rows = vectors.select(F.col(id_).cast("long").alias("id"), double.alias("v")).where(
         F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if size is None:
-        return empty
-    rows = rows.where(F.size("v") == size.n)
+    sizes = sorted(r.n for r in rows.groupBy(F.size("v").alias("n")).count().limit(most_lengths + 1).collect())
+    if len(sizes) > most_lengths:
+        raise ValueError(f"vectors of more than {most_lengths} lengths")
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for place, n in enumerate(sizes):
+        found = _search_length(rows.where(F.size("v") == n) if len(sizes) > 1 else rows, n, k, every, share, least, sample, chunk, codebook)
+        out = out.unionByName(found) if place else found
+    return out
+
+
+def _search_length(rows: DataFrame, length: int, k: int, every: int, share: float, least: int, sample: int, chunk: int, codebook: int) -> DataFrame:
+    """``search`` among rows (id, v) of one length."""
     entries = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("entry")))
     named = rows.join(entries, "v").select("id", "entry").distinct()
     # the k + 1 smallest ids of an entry, found within salted parts first
@@ -107,10 +115,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3,
     rate = min(1.0, sample / total)
     fitted = entries.where(F.pmod(F.xxhash64(F.lit(1), "entry"), F.lit(1 << 20)) <= rate * (1 << 20)).select("v").toArrow()["v"].combine_chunks()
     points = matrix(fitted)
-    half = max(1, size.n // 2)
+    half = max(1, length // 2)
     cells = max(1, min(codebook, total // 2))
     books = [centroids(points[:, :half], cells, seed=11)]
-    books.append(centroids(points[:, half:], cells, seed=12) if half < size.n else np.zeros((1, 0)))
+    books.append(centroids(points[:, half:], cells, seed=12) if half < length else np.zeros((1, 0)))
     wide = len(books[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +132,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, share: float = 0.3,
     counts = np.zeros((len(books[0]), wide), np.int64)
     for r in indexed.groupBy("a", "b").count().collect():  # at most codebook squared
         counts[r.a, r.b] = r["count"]
-    enough = max(least, int(share * total))
+    enough = max(least, k + 1, int(share * total))
     near = -(-len(books[0]) // max(1, min(len(books[0]), total // chunk)))  # first-half centroids in a group
     groups = -(-len(books[0]) // near)
     chunks = np.array([max(1, -(-int(counts[g * near:(g + 1) * near].sum()) // chunk)) for g in range(groups)])

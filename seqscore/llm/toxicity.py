@@ -25,37 +25,62 @@ PREFIXES = (4, 5, 6, 7, 8)  # bytes
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 IN_WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or c == 39 for c in range(256)])
 ENDS = np.array([c in b".!?\n" for c in range(256)])
-POWERS = np.cumprod(np.concatenate(([1], np.full(63, 0x100000001B3))).astype(np.uint64))
+BASE = 0x100000001B3
+#: The ideographic and full-width marks that end a sentence, in UTF-8.
+WIDE_ENDS = ["。".encode(), "！".encode(), "？".encode(), "｡".encode()]
+
+
+def _word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte and end byte of each word, whether a byte ends a sentence). Words are runs of
+    letters and digits; in scripts without spaces (kana, ideographs, Thai, Lao) each two letters
+    that follow one another are a word, the last also alone."""
+    in_word, ends = IN_WORD[raw], ENDS[raw]
+    if not (raw >= 0xE0).any():
+        edge = np.diff(in_word.astype(np.int8), prepend=0)
+        return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0), ends
+    after = np.append(raw[1:], 0)
+    for mark in WIDE_ENDS:
+        at = np.flatnonzero((raw == mark[0]) & (after == mark[1]) & (np.append(raw[2:], (0, 0)) == mark[2]))
+        ends[at + 2] = True
+        in_word[at[:, None] + np.arange(3)] = False
+    letter = in_word & ((raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xE0) & (after >= 0xB8) & (after <= 0xBB))
+    at = np.flatnonzero(letter)
+    at = at[at + 3 <= len(raw)]
+    in_word[(at[:, None] + np.arange(3)).ravel()] = False
+    edge = np.diff(in_word.astype(np.int8), prepend=0)
+    pair = np.append(np.diff(at) == 3, False) if len(at) else np.zeros(0, bool)
+    starts, stops = np.concatenate((np.flatnonzero(edge > 0), at)), np.concatenate((np.flatnonzero(edge < 0), at + np.where(pair, 6, 3)))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order], ends
 
 
 def features(texts: list[bytes]):
     """Word and sentence layout of texts: (hashed features of each word: itself and its proper
     prefixes, slot 0 where it has none; first word of each sentence; first byte and end byte of
     each sentence counted from its text; number of sentences of each text). Sentences end at
-    . ! ? or a line break; those without words are left out."""
+    . ! ? 。 ！ ？ or a line break; those without words are left out."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     text_starts = np.cumsum(lengths) - lengths
-    edge = np.diff(IN_WORD[raw].astype(np.int8), prepend=0)
-    starts, stops = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+    starts, stops, ends = _word_spans(raw)
     if not len(starts):
         none = np.zeros(0, np.int64)
         return np.zeros((1 + len(PREFIXES), 0), np.int32), none, none, none, np.zeros(len(texts), np.int64)
-    # a word is hashed by its first 64 bytes and its length, a prefix by its bytes
+    # a word is hashed by all its bytes and its length, a prefix by its bytes
     sizes = stops - starts
-    clipped = np.minimum(sizes, 64)
-    first = np.cumsum(clipped) - clipped
-    within = np.arange(clipped.sum()) - np.repeat(first, clipped)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LOWER[raw[np.repeat(starts, clipped) + within]].astype(np.uint64) * POWERS[within])))
+    first = np.cumsum(sizes) - sizes
+    within = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    powers = np.cumprod(np.concatenate(([1], np.full(max(63, int(sizes.max())), BASE))).astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(LOWER[raw[np.repeat(starts, sizes) + within]].astype(np.uint64) * powers[within])))
 
     def slot(stop: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
         code = (sums[stop] - sums[first] + np.uint64(0x9E3779B97F4A7C15) * np.asarray(salt, np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
         return np.maximum((code >> np.uint64(64 - BITS)).astype(np.int32), 1)
 
-    rows = [slot(first + clipped, sizes)]
+    rows = [slot(first + sizes, sizes)]
     for k in PREFIXES:
         rows.append(np.where(sizes > k, slot(np.minimum(first + k, len(sums) - 1), 1 << 40 | k), 0))
-    marks = np.cumsum(ENDS[raw])  # the break between texts ends a sentence too
+    marks = np.cumsum(ends)  # the break between texts ends a sentence too
     sentence = marks[starts]
     heads = np.flatnonzero(np.diff(sentence, prepend=-1))
     tails = np.append(heads[1:], len(starts)) - 1

@@ -52,3 +52,17 @@ def test_rows(spark):
     out = sorted(extract(df).collect(), key=lambda r: (r.page_id is None, r.page_id or 0))
     assert [(r.page_id, r.text[:9], r.n_chars) for r in out] == [(1, "", 0), (2, "x, y", 4), (2, "x, y", 4), (None, "long, lon", 299_999)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_is_linear():
+    """Paragraphs in ever deeper boxes: twice the page takes about twice the time."""
+    import time
+
+    def seconds(n):
+        page = "<div><p>a, b" * n
+        main_text(page)
+        start = time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    assert seconds(8000) < 3.2 * seconds(4000) + 0.1

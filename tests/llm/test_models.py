@@ -101,3 +101,25 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score(docs_of([]), model).count() == 0
     only = toxicity.learn(docs_of(rows), table.where("toxic = 0"))
     assert [r.predicted for r in toxicity.score(docs_of([(1, "a b"), (2, None)]), only).collect()] == [0, 0]
+
+
+def test_whole_words_are_read():
+    a, b = b"x" * 64 + b"abc", b"x" * 64 + b"abd"
+    words = toxicity.features([a, b])[0]
+    assert words[0, 0] != words[0, 1] and (words[1:, 0] == words[1:, 1]).all()
+
+
+def test_scripts_without_spaces():
+    """Sentences end at their own marks, and no part of a sentence goes unread."""
+    text = "这是第一句话。这是第二句话！第三句话很长很长很长很长很长很长很长很长很长很长很长很长坏词在这里？ok".encode()
+    other = text.replace("坏词".encode(), "好词".encode())
+    words, heads, first, stop, counts = toxicity.features([text, other])
+    assert counts.tolist() == [4, 4]
+    assert [text[a:b].decode() for a, b in zip(first[:4], stop[:4])] == [x for x in text.decode().replace("。", "|").replace("！", "|").replace("？", "|").split("|")]
+    n = words.shape[1] // 2
+    assert 1 <= (words[0, :n] != words[0, n:]).sum() <= 4
+    assert toxicity.features(["คำหยาบ".encode()])[0].shape[1] > 2
+    model = toxicity.fit([t.encode() for t in ["坏词在这里。很好很好"] * 30 + ["今天天气很好。很好很好"] * 30], np.array([1] * 30 + [0] * 30))
+    words, heads, _, _, counts = toxicity.features(["天气很好。坏词在这里".encode(), "天气很好。很好".encode()])
+    high, low = toxicity.noisy_or(model.sentence_scores(words, heads), counts)
+    assert high > 0.5 > low

@@ -65,3 +65,45 @@ def test_small_tables(spark):
     assert neighbours.search(vectors(spark, [])).count() == 0
     assert neighbours.search(vectors(spark, [(0, [1.0, 2.0])])).count() == 0
     assert [tuple(r) for r in neighbours.search(vectors(spark, [(0, [1.0]), (0, [1.0]), (7, [2.0])])).collect()] == [(0, 1, 7, 2.0)]
+
+
+def test_lengths_are_searched_on_their_own(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.float32(rng.normal(size=8 if i % 3 else 5)).tolist()) for i in range(240)] + [(1000, [2.0]), (1001, [3.0])]
+    got = {}
+    for r in neighbours.search(vectors(spark, rows), 5, share=1.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = {}
+    for n in (8, 5, 1):
+        good = [(i, np.array(v)) for i, v in rows if len(v) == n]
+        for q, v in good:
+            if q % 20 == 0:
+                best = sorted(((-float(v @ w), i) for i, w in good if i != q))[:5]
+                want[q] = [(k + 1, i) for k, (_, i) in enumerate(best)]
+    assert {q: sorted(x) for q, x in got.items()} == want
+
+
+def test_more_wanted_than_least(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, np.float32(rng.normal(size=6)).tolist()) for i in range(300)]
+    found = neighbours.search(vectors(spark, rows), 120, share=0.0, least=10).groupBy("query_id").count().collect()
+    assert len(found) == 15 and all(r["count"] == 120 for r in found)
+
+
+def test_recall_at_the_registered_defaults(spark):
+    """On the table's own vectors: all of sf0.01's queries against brute force."""
+    import pyarrow.parquet as pq
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    table = pq.read_table(path, columns=["vec_id", "embedding"])
+    ids, m = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), float)
+    hit = total = 0
+    got = {}
+    for r in neighbours.search(spark.read.parquet(path), 20, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in ids[ids % 20 == 0].tolist():
+        score = m @ m[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -np.inf
+        best = ids[np.lexsort((ids, -score))[:20]]
+        hit += len(got[q] & set(best.tolist()))
+        total += 20
+    assert hit >= 0.9 * total
