@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_relational", "q_metrics", "q_stats", "q_distance", "q_similarity", "q_motifs", "q_models", "q_more"]
+_MODULES = ["q_relational", "q_metrics", "q_stats", "q_distance", "q_similarity", "q_motifs", "q_models", "q_more", "q_sources"]
 
 
 def all_queries():

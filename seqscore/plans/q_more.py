@@ -7,7 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqscore.functions import sequence as S
+from seqscore.functions import stats_math as SM
 from seqscore.operators import clusters as C
+from seqscore.operators import curves as CV
 from seqscore.operators import ensemble as E
 from seqscore.operators import metrics as M
 from seqscore.operators import scores as SC
@@ -85,6 +87,21 @@ def q_sweep_two_limits(spark, d):
     return per.groupBy("Perc").agg(F.count(F.lit(1)).alias("total_clusters"), *below)
 
 
+def _poly(x: str, coefficients: list[float]) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _tail(v: str) -> str:
+    return f"{_poly(v, SM._C)} / {_poly(v, [*SM._D, 1.0])}"
+
+
+def _middle() -> str:
+    return f"{_poly('r', SM._A)} * q / {_poly('r', [*SM._B, 1.0])}"
+
+
 @query("qq_table", """
 select ClsID, predictions_mean as value, (r - 0.5) / n as position
 from (select ClsID, predictions_mean, row_number() over (order by predictions_mean, ClsID) as r, count(*) over () as n from v_stats) t""")
@@ -107,6 +124,44 @@ def q_density_table(spark, d):
     return h.select("prediction_score", "n", (F.col("n") / F.lit(total)).alias("density"))
 
 
+_KERNEL = """
+select x, sum(exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())) as density
+from (select lo + i * (hi - lo) / 199.0 as x, n, bw from (
+        select count(*) as n, min(v) as lo, max(v) as hi, stddev_samp(v) * pow(count(*), -0.2) as bw from v_v) s, (select unnest(range(200)) as i) t) g, v_v
+group by x, n, bw"""
+
+
+@query("smoothed_density", f"select round(x, 6) as x, round(density, 6) as density from ({_KERNEL}) k", "v_v as (select cast(prediction_score as double) as v from v_cs)")
+def q_smoothed_density(spark, d):
+    """Kernel density of the scores; the oracle sums the kernel over the rows."""
+    return CV.smoothed_density(C.score_histogram(B.cluster_scores(spark, d)), "prediction_score", "frequency")
+
+
+@query("smoothed_gc", """
+select prediction_score, round(x, 6) as x, round(sum(exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 6) as density
+from (select prediction_score, lo - 2 * bw + i * (hi - lo + 4 * bw) / 99.0 as x, n, bw from (
+        select prediction_score, count(*) as n, min(gc_content) as lo, max(gc_content) as hi, stddev_samp(gc_content) * 0.3 as bw from v_cs group by 1) s,
+        (select unnest(range(100)) as i) t where bw > 0 and hi > lo) g
+join (select prediction_score as p, gc_content as v from v_cs) c on c.p = g.prediction_score
+group by prediction_score, x, n, bw""")
+def q_smoothed_gc(spark, d):
+    """A29 by group: the curve of GC content at each score, at 0.3 of the deviation."""
+    h = B.cluster_scores(spark, d).groupBy("prediction_score", "gc_content").agg(F.count(F.lit(1)).alias("n"))
+    return CV.smoothed_density(h, "gc_content", "n", ["prediction_score"], points=100, cut=2.0, factor=0.3)
+
+
+@query("normal_qq", f"""
+select ClsID, round(value, 6) as value, round(p, 6) as position, round(z, 6) as theoretical, round((value - mean) / nullif(std, 0), 6) as standardised, round(mean + std * z, 6) as line
+from (select *, case when p <= 0.02425 then {{low}} when p >= 1 - 0.02425 then -({{high}}) else {{mid}} end as z
+      from (select *, p - 0.5 as q, (p - 0.5) * (p - 0.5) as r, sqrt(-2 * ln(p)) as lv, sqrt(-2 * ln(1 - p)) as hv
+            from (select ClsID, predictions_mean as value, avg(predictions_mean) over () as mean, stddev_pop(predictions_mean) over () as std,
+                         row_number() over (order by predictions_mean, ClsID) / (count(*) over () + 1.0) as p from v_stats) a) b) c""".format(
+    **{k: v for k, v in (("low", _tail("lv")), ("high", _tail("hv")), ("mid", _middle()))}))
+def q_normal_qq(spark, d):
+    """Cluster means against the normal law."""
+    return CV.normal_quantiles(B.stats(spark, d), "predictions_mean", "ClsID")
+
+
 @query("point_lookup", """
 select v.* from v_cs v where v.seq_index in (select max(o_orderkey) from orders where o_orderkey % 2 = 0)""")
 def q_point_lookup(spark, d):
@@ -118,10 +173,10 @@ def q_point_lookup(spark, d):
 @query("padding_mask", """
 select item_id, pos, substr(text, cast(pos as bigint), 1) as letter, (pos <= length(text)) as kept
 from (select item_id, text, unnest(range(1, cast(m as bigint) + 1)) as pos
-      from (select item_id, substr(text, 1, 64) as text, max(length(substr(text, 1, 64))) over () as m from benchmark) t) u""")
+      from (select item_id, text, max(length(text)) over () as m from benchmark) t) u""")
 def q_padding_mask(spark, d):
-    """texts of up to 64 letters padded to the longest, with the mask of real letters."""
-    t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", F.substring("text", 1, 64).alias("text"))
+    """whole texts padded to the longest of all, with the mask of real letters."""
+    t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", "text")
     longest = t.agg(F.max(F.length("text"))).first()[0] or 0
     rows = t.select("item_id", "text", F.explode(F.expr(f"sequence(1L, {max(longest, 1)}L)")).alias("pos"))
     return rows.select("item_id", "pos", F.expr("substr(text, cast(pos as int), 1)").alias("letter"), (F.col("pos") <= F.length("text")).alias("kept"))
@@ -135,7 +190,7 @@ from (select item_id, batch, text, unnest(range(1, cast(m as bigint) + 1)) as po
                          (row_number() over (order by length(coalesce(text, '')), item_id) - 1) // 64 as batch from benchmark) t) u) v""")
 def q_padding_batches(spark, d):
     """whole texts padded to the longest of 64 of similar length, with the mask of real
-    letters. ``padding_mask`` and its SQL take the first 64 letters only."""
+    letters, so what is padded does not follow the longest text of all."""
     from seqscore.operators.models import row_numbers
     t = spark.read.parquet(table_path(d, "benchmark")).select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     ranked = row_numbers(t.withColumn("o", F.struct(F.length("text").alias("n"), "item_id")), "o", "r")
