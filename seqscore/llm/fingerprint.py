@@ -17,10 +17,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqscore.llm.common import cut_lineage
+
 ROWS, WIDE, SAMPLES = 1 << 16, 16, 64
 BLANK = np.array([c in b" \t\n\r\x0b\x0c" for c in range(256)])
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -115,42 +118,62 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1)
 
 
-def in_order(docs: DataFrame, text: str = "text", cells: int = 4096, target: int = 4 << 20) -> DataFrame:
-    """doc_id, text and ``extra``, dealt to partitions in contiguous runs of descending doc_id
-    (``run``; null ids last). Every run is followed by the row that comes next to its last one,
-    with ``extra`` set; the first row follows the last run.
+def _places(key: np.ndarray, tie: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For rows of (key, tie), in falling key and rising tie, the number of cuts (key, tie) at or
+    before each."""
+    n = len(cuts)
+    falling = ~np.concatenate((cuts[:, 0], key))
+    order = np.lexsort((np.arange(n + len(key)) >= n, np.concatenate((cuts[:, 1], tie)), falling))
+    out = np.empty(n + len(key), np.int32)
+    out[order] = np.cumsum(order < n)
+    return out[n:]
+
+
+def in_order(docs: DataFrame, text: str = "text", cells: int = 4096, target: int = 4 << 20, *, sample: int = 64) -> DataFrame:
+    """doc_id, text and ``extra``, dealt to partitions in contiguous runs of descending doc_id, rows of
+    equal id by a hash of their text (``run``; null ids last). Every run is followed by the row
+    that comes next to its last one, with ``extra`` set; the first row follows the last run.
 
-    Runs are cut on a histogram of the ids (``cells`` numbers on the driver) to about
-    ``target`` bytes, or more if that gave over ``cells`` runs; texts are shuffled once.
+    Runs are cut to about ``target`` bytes (more if that gave over ``cells`` runs) on a sample of
+    about ``sample`` rows a run, drawn from the distinct (id, hash) with the bytes of each. So far-off
+    ids, dense clusters of them, and many rows without id or of one id, are spread like others;
+    only rows equal in id and text stay together. Texts are shuffled once.
     """
     lowest = -(1 << 63)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"))
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if ends[0] is None else (int(ends[0]), int(ends[1]))
-    width = (high - low) // (cells - 1) + 1
-    # ids differ by less than 2 ** 64, so the cell is found in decimals
-    cell = F.when(F.col("doc_id").isNull(), F.lit(cells)).otherwise(
-        ((F.lit(high).cast("decimal(38,0)") - F.col("doc_id")) / F.lit(width).cast("decimal(38,0)")).cast("int"))
-    found = keyed.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + F.lit(64)).alias("size"), F.max("key").alias("top")).collect()
-    target = max(target, sum(r["size"] for r in found) // cells + 1)
-    run_of, tops, room = [0] * (cells + 1), [], -1
-    for r in sorted(found, key=lambda r: r.cell):
+                        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key")).withColumn("tie", F.xxhash64("text"))
+    sizes = cut_lineage(keyed.groupBy("key", "tie").agg(F.sum(F.octet_length("text") + F.lit(64)).alias("size")))
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    target = max(target, whole["size"] // cells + 1)
+    rate = min(1.0, sample * (whole["size"] // target + 1) / max(whole["n"], 1))
+    drawn = sizes.where(F.pmod(F.xxhash64(F.lit(5), "key", "tie"), F.lit(1 << 20)) <= rate * (1 << 20)).collect()
+    cuts, room = [], target * rate
+    for r in sorted(drawn, key=lambda r: (-r["key"], r["tie"])):
         if room < 0:
-            tops.append(r.top)
-            room = target
-        run_of[r.cell] = len(tops) - 1
+            cuts.append((r["key"], r["tie"]))
+            room = target * rate
         room -= r["size"]
-    runs = max(1, len(tops))
-    run = F.element_at(F.lit(run_of), cell + 1)
-    top = F.element_at(F.lit(tops or [0]), run + 1)
-    dealt = keyed.withColumn("to", F.when(F.col("key") == top, F.array(
-        F.struct(run.alias("run"), F.lit(False).alias("extra")),
-        F.struct(F.pmod(run - 1, F.lit(runs)).alias("run"), F.lit(True).alias("extra")))).otherwise(
-        F.array(F.struct(run.alias("run"), F.lit(False).alias("extra")))))
-    return (dealt.select("doc_id", "text", "key", F.explode("to").alias("to"))
-            .select("doc_id", "text", "key", "to.run", "to.extra").repartition("run")
-            .sortWithinPartitions("run", "extra", F.desc("key"), F.xxhash64("text"))
+    bounds = np.array(cuts, np.int64).reshape(-1, 2)
+
+    @F.pandas_udf("int")
+    def run_of(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(_places(key.to_numpy(), tie.to_numpy(), bounds))
+
+    first = sizes.select(run_of("key", "tie").alias("run"), F.struct(F.bitwise_not("key").alias("falling"), "tie", "key").alias("row")).groupBy("run").agg(F.min("row").alias("row"))
+    tops = {r["run"]: (r["row"]["key"], r["row"]["tie"]) for r in first.collect()}  # a row a run
+    there = sorted(tops) or [0]
+    before = {r: there[i - 1] for i, r in enumerate(there)}
+    n = len(bounds) + 1
+    at = F.col("run") + 1
+    top_key, top_tie = (F.element_at(F.lit([tops.get(r, (0, 0))[i] for r in range(n)]), at) for i in (0, 1))
+    back = F.element_at(F.lit([before.get(r, 0) for r in range(n)]), at)
+    own = F.struct(F.col("run").cast("int").alias("run"), F.lit(False).alias("extra"))
+    also = F.struct(back.cast("int").alias("run"), F.lit(True).alias("extra"))
+    dealt = keyed.withColumn("run", run_of("key", "tie")).withColumn(
+        "to", F.when((F.col("key") == top_key) & (F.col("tie") == top_tie), F.array(own, also)).otherwise(F.array(own)))
+    return (dealt.select("doc_id", "text", "key", "tie", F.explode("to").alias("to"))
+            .select("doc_id", "text", "key", "tie", "to.run", "to.extra").repartition("run")
+            .sortWithinPartitions("run", "extra", F.desc("key"), "tie")
             .select("doc_id", "text", "run", "extra"))
 
 

@@ -122,13 +122,17 @@ _SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b for b in _SEEN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
+LONGEST_KEPT = 64
+
+
 class WordIds(dict):
     """Token ids of words, for a tokenizer file that drops white space and lowers letters.
 
     A word is looked up whole; a new one is cut into letters and the marks after them, where
     the file's own splitting does the same (tried once on loading), so "Word", "word," and
     "word." are encoded once. ASCII letters go to the file's merges directly, everything else
-    through the whole tokenizer. Tables of ``most`` entries are kept, the older half apart."""
+    through the whole tokenizer. Tables of ``most`` entries are kept, the older half apart; words
+    of over ``LONGEST_KEPT`` bytes are not, so the tables are bounded in bytes too."""
 
     def __init__(self, path: str, most: int = 250_000):
         super().__init__()
@@ -162,9 +166,10 @@ class WordIds(dict):
                 ids = self._merged(part)
             else:
                 ids = array("I", self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            self.parts[part] = ids
+            if len(part) <= LONGEST_KEPT:
+                if len(self.parts) > self.most:
+                    self.parts.clear()
+                self.parts[part] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
@@ -179,10 +184,11 @@ class WordIds(dict):
                 head, ids = word, self._part(word)
             if len(head) < len(word):
                 ids += self._part(word[len(head):])
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 

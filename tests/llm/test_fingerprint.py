@@ -68,3 +68,33 @@ def test_small_tables(docs_of):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
     same = fp.fingerprint_documents(docs_of([(3, "a b c"), (3, "a b c"), (3, "a b c")])).collect()
     assert [(r.doc_id, r.near_next) for r in same] == [(3, 1.0)] * 3
+
+
+def test_crowded_ids_are_spread(docs_of):
+    """One far-off id, many rows without id and many of one id: no run holds more than a share."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(40))
+    rows = [(i, word()) for i in range(300)] + [(9 * 10 ** 18, "far")] + [(None, word()) for _ in range(300)] + [(150, word()) for _ in range(300)]
+    out = fp.in_order(docs_of(rows), target=3000).collect()
+    own = [r for r in out if not r.extra]
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in own) == sorted((i is None, i or 0, t) for i, t in rows)
+    size = {}
+    for r in own:
+        size[r.run] = size.get(r.run, 0) + 104
+    assert len(size) > 15 and max(size.values()) < 8 * 3000
+    place = lambda r: (r.doc_id is None, -(r.doc_id or 0))
+    runs = [sorted(map(place, (r for r in own if r.run == k))) for k in sorted(size)]
+    assert all(a[-1] <= b[0] for a, b in zip(runs, runs[1:]))
+    assert len([r for r in out if r.extra]) == len(size)
+
+
+def test_edits_of_crowded_ids(docs_of, monkeypatch):
+    """Every row's edited text is made with the row after it, across runs too."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 5, 5, 6]), "".join(rng.choice("abc ") for _ in range(30))) for _ in range(200)]
+    monkeypatch.setattr(fp.in_order, "__defaults__", ("text", 4096, 400))
+    got = sorted((r.n_chars, r.edited_sha256) for r in fp.fingerprint_documents(docs_of(rows)).collect())
+    df = docs_of(rows).selectExpr("doc_id", "text", "xxhash64(text) as h").collect()
+    order = sorted(df, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    want = sorted((len(a.text), hashlib.sha256(fp.edited_text(a.text, b.text).encode()).hexdigest()) for a, b in zip(order, order[1:] + order[:1]))
+    assert got == want

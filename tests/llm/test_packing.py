@@ -98,3 +98,12 @@ def test_empty(docs_of):
     assert packing.pack_documents(docs_of([]), PATH).count() == 0
     one = packing.pack_documents(docs_of([(1, None)]), PATH).collect()
     assert [(r.start, r.length, r.doc_tokens, r.offset) for r in one] == [(0, 1, 1, 0)]
+
+
+def test_long_words_are_not_kept():
+    """Tables are bounded in bytes: words of any length are encoded alike, long ones each time."""
+    path, long = P.path("word_bpe_49k.json"), b"ab" * 5000
+    one = packing.token_ids([long, b"word, " + long + b" word"], path)
+    words = packing._TOKENIZERS[path]
+    assert max(map(len, words)) <= packing.LONGEST_KEPT >= max(map(len, words.parts))
+    assert one == packing.token_ids([long, b"word, " + long + b" word"], path) and one[0] in one[1]
