@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqscore.functions.sequence import gc_content, seqid_index
-from seqscore.operators.ordered import global_quantiles, histogram_quantiles, ranged
+from seqscore.operators.ordered import cumulative_sum, global_quantiles, histogram_quantiles, ranged
+from seqscore.session import cut_lineage
 
 CLS = "ClsID"
 SCORE = "prediction_score"
@@ -310,13 +311,14 @@ def density_groups(df: DataFrame, col: str = SCORE, eps: float = 10, min_size: i
     """1-D density grouping of a bounded-precision column: over its distinct values in
     order, a gap > ``eps`` starts a new group; groups with fewer than ``min_size`` rows are
     noise (-1). Works on the value histogram (one row per distinct value)."""
-    h = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(col)
-    h = h.withColumn("_gap", F.when(F.col(col) - F.lag(col).over(w) > eps, 1).otherwise(0))
-    h = h.withColumn("_g", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    gs = Window.partitionBy("_g")
-    h = h.withColumn("_gn", F.sum("n").over(gs))
-    return h.select(col, "n", F.when(F.col("_gn") >= min_size, F.col("_g")).otherwise(-1).cast("int").alias("group"))
+    h = ranged(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")), F.col(col))
+    ends = h.groupBy("_pid").agg(F.max(col).alias("_end"))  # one row a partition
+    before = ends.select("_pid", F.max("_end").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    last = F.coalesce(F.lag(col).over(Window.partitionBy("_pid").orderBy(col)), F.col("_before"))
+    h = h.join(before, "_pid").withColumn("_gap", F.when(F.col(col) - last > eps, 1).otherwise(0)).drop("_pid", "_before")
+    h = cut_lineage(cumulative_sum(h, [], [col], ["_gap"], ["_g"]))
+    sizes = h.groupBy("_g").agg(F.sum("n").alias("_gn"))
+    return h.join(sizes, "_g").select(col, "n", F.when(F.col("_gn") >= min_size, F.col("_g")).otherwise(-1).cast("int").alias("group"))
 
 
 def with_gc(df: DataFrame, col: str = "sequence") -> DataFrame:

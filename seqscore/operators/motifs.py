@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqscore.session import cut_lineage
+from seqscore.session import broadcast_if_small, cut_lineage
 
 _lgam = np.frompyfunc(math.lgamma, 1, 1)
 
@@ -116,7 +116,7 @@ def motif_counts_tagged(seqs: DataFrame, role: str = "role", wmin: int = 8, wmax
     sizes = s.groupBy(*g).agg(F.sum(is_fg).alias("N_fg"), F.sum(1 - is_fg).alias("N_bg")) if g else \
         s.agg(F.sum(is_fg).alias("N_fg"), F.sum(1 - is_fg).alias("N_bg"))
     if g:
-        return c.join(F.broadcast(sizes), g)  # one row per group
+        return c.join(broadcast_if_small(sizes), g)  # one row per group
     row = sizes.first()
     return c.withColumn("N_fg", F.lit(row["N_fg"])).withColumn("N_bg", F.lit(row["N_bg"]))
 
@@ -131,7 +131,7 @@ def enrichment(counts: DataFrame, group: list[str] | None = None, min_fg: int =
                                             F.col("N_fg") + F.col("N_bg")))
     if g:
         tested = counts.groupBy(*g).agg(F.count(F.lit(1)).alias("_tested"))
-        c = c.join(F.broadcast(tested), g)  # one row per group
+        c = c.join(broadcast_if_small(tested), g)  # one row per group
     else:
         c = c.withColumn("_tested", F.lit(counts.count()))
     return c.withColumn("E_value", F.col("p_value") * F.col("_tested")).drop("_tested")
@@ -163,7 +163,7 @@ def select_motifs(enriched: DataFrame, n: int = 10, group: list[str] | None = No
             break
         picked.append(best)
         sel = best.select(*gg, F.col("kmer").alias("_sel"))
-        cand = cand.join(F.broadcast(sel), gg, "left")
+        cand = cand.join(broadcast_if_small(sel), gg, "left")
         cand = cut_lineage(cand.filter(F.col("_sel").isNull() | ~_overlaps()).drop("_sel"))
     if not picked:
         schema = "rank int, motif string, fg_n bigint, bg_n bigint, log_odds double, p_value double, E_value double"
@@ -196,12 +196,16 @@ def motif_hits(seqs: DataFrame, motifs: DataFrame, group: list[str] | None = Non
     g = group or []
     widths = [r[0] for r in motifs.select("width").distinct().collect()]  # distinct motif widths (<= wmax)
     n = F.length(col)
-    pos = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(0))),
-                                          lambda i, w=w: F.struct(i.alias("pos"), F.col(col).substr(i, w).alias("kmer")))
-                              for w in widths])) if widths else F.array()
+
+    def windows(w: int):
+        # the lambda has one parameter: a second one would be the index
+        return F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.struct(i.alias("pos"), F.col(col).substr(i, F.lit(w)).alias("kmer")))
+
+    none = F.expr("cast(array() as array<struct<pos:int,kmer:string>>)")
+    pos = F.flatten(F.array(*[F.when(n >= w, windows(w)).otherwise(none) for w in widths])) if widths else none
     occ = seqs.select(*g, key, F.inline(pos)).filter(F.col("pos") >= 1)
     m = motifs.select(*g, F.col("motif").alias("kmer"), "rank", "log_odds")
-    hits = occ.join(F.broadcast(m), [*g, "kmer"])  # n motifs per group: bounded
+    hits = occ.join(broadcast_if_small(m), [*g, "kmer"])  # n motifs per group
     first = hits.groupBy(*g, "kmer", "rank", key).agg(F.min("pos").alias("site_start"),
                                                       F.first("log_odds").alias("site_score"))
     first = first.withColumn("site_end", F.col("site_start") + F.length("kmer") - 1)

@@ -8,6 +8,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every seqscore job relies on. Cluster deployments override the sizing
 # keys (shuffle partitions, maxPartitionBytes) through spark-submit; these are defaults.
@@ -96,5 +97,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df`` written once and marked for broadcast if it has at most ``most`` rows; beyond that it
+    joins by a shuffle."""
+    frozen = cut_lineage(df)
+    return F.broadcast(frozen) if frozen.limit(most + 1).count() <= most else frozen
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
