@@ -62,7 +62,7 @@ join (select grp, count(distinct case when role = 'fg' then seq_index end) as N_
              count(distinct case when role = 'bg' then seq_index end) as N_bg from v_sets group by grp) n on n.grp = f.grp
 where f.fg_n >= 2""", _SETS)
 def q_motif_counts(spark, d):
-    c = MO.motif_counts_tagged(motif_sets(spark, d), "role", WMIN, WMAX, G)
+    c = MO.motif_counts_tagged(motif_sets(spark, d), "role", WMIN, WMAX, G, least=2)
     return c.filter(F.col("fg_n") >= 2).select("grp", "kmer", "fg_n", "bg_n", "N_fg", "N_bg")
 
 
