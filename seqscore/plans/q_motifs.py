@@ -12,6 +12,7 @@ from seqscore.operators import matrices as MX
 from seqscore.operators import motifs as MO
 from seqscore.plans import base as B
 from seqscore.plans.registry import query
+from seqscore.session import cut_lineage, spread_evenly
 
 WMIN, WMAX, NMOT, LOW, HIGH, NMID = 8, 25, 10, 17, 21, 100
 G = ["grp"]
@@ -124,21 +125,22 @@ v_law as (
   select grp, rank, score, sum(words) over (partition by grp, rank order by score desc) / pow(4.0, {SEED_WIDTH}) as p_site from law where pos = {SEED_WIDTH})"""
 
 
-def seed_motifs(spark, d):
+def seed_motifs(sets):
     """The ``SEEDS`` words of a group that are in most more foreground than background sequences."""
-    c = MO.motif_counts_tagged(motif_sets(spark, d), "role", SEED_WIDTH, SEED_WIDTH, G).withColumn("diff", F.col("fg_n") - F.col("bg_n")).where("diff > 0")
+    c = MO.motif_counts_tagged(sets, "role", SEED_WIDTH, SEED_WIDTH, G).withColumn("diff", F.col("fg_n") - F.col("bg_n")).where("diff > 0")
     best = BD.top_k_per_group(c, G, -F.col("diff"), SEEDS, tiebreak="kmer")
     w = Window.partitionBy(*G).orderBy(F.desc("diff"), "kmer")
     return best.select(*G, F.col("kmer").alias("motif"), F.row_number().over(w).alias("rank"))
 
 
-def foreground(spark, d):
-    return motif_sets(spark, d).where("role = 'fg'").dropDuplicates([*G, "seq_index"])
+def foreground(sets):
+    return sets.where("role = 'fg'").dropDuplicates([*G, "seq_index"])
 
 
 @query("seed_matrices", "select grp, rank, motif, pos, letter, n, weight from v_weight", _SEEDS)
 def q_seed_matrices(spark, d):
-    return MX.seed_matrices(foreground(spark, d), seed_motifs(spark, d), 1, G).select("grp", "rank", "motif", "pos", "letter", "n", "weight")
+    sets = cut_lineage(motif_sets(spark, d))  # read by the seeds and by their matrices
+    return MX.seed_matrices(foreground(sets), seed_motifs(sets), 1, G).select("grp", "rank", "motif", "pos", "letter", "n", "weight")
 
 
 @query("motif_sites", f"""
@@ -147,17 +149,19 @@ from v_scored s join v_law l on l.grp = s.grp and l.rank = s.rank and l.score =
 qualify row_number() over (partition by s.grp, s.rank, s.seq_index order by s.score desc, s.i) = 1""", _SEEDS)
 def q_motif_sites(spark, d):
     """The best site of every sequence under every seed matrix, and the exact chance of it."""
-    fg = foreground(spark, d)
-    return MX.motif_sites(fg, MX.seed_matrices(fg, seed_motifs(spark, d), 1, G), G).select(
+    sets = cut_lineage(motif_sets(spark, d))
+    fg = cut_lineage(foreground(sets))
+    return MX.motif_sites(spread_evenly(fg), MX.seed_matrices(fg, seed_motifs(sets), 1, G), G).select(
         "grp", "rank", "motif", "seq_index", "site_start", "site_end", "site_score", "p_site")
 
 
 @query("refined_motifs")
 def q_refined_motifs(spark, d):
     """Seed matrices refined by expectation-maximisation, with their enrichment."""
-    rows = motif_sets(spark, d).dropDuplicates([*G, "role", "seq_index"])
+    sets = cut_lineage(motif_sets(spark, d))
+    rows = cut_lineage(spread_evenly(sets.dropDuplicates([*G, "role", "seq_index"])))  # every round and scan reads it
     fg = rows.where("role = 'fg'")
-    fitted = MX.refine(fg, MX.seed_matrices(fg, seed_motifs(spark, d), 1, G), 8, G)
+    fitted = cut_lineage(MX.refine(fg, MX.seed_matrices(fg, seed_motifs(sets), 1, G), 8, G))
     found = MX.motif_sites(rows.where("role = 'fg'"), fitted, G).withColumn("role", F.lit("fg")).unionByName(
         MX.motif_sites(rows.where("role = 'bg'"), fitted, G).withColumn("role", F.lit("bg")))
     sizes = rows.groupBy(*G).agg(*[F.sum((F.col("role") == r).cast("long")).alias(f"N_{r}") for r in ("fg", "bg")])
