@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqscore.operators import metrics as M
 from seqscore.operators.scores import hard_vote_expr
+from seqscore.session import cut_lineage
 
 KEY = "seq_index"
 
@@ -49,11 +50,12 @@ def vote_metrics(ev: DataFrame, tie: str | int = "label", swap_args: bool = Fals
 
 
 def model_metrics(ev: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per (model, train_on, test_on): macro metrics of proba >= threshold, plus AUC."""
+    """Per (model, train_on, test_on): macro metrics of proba >= threshold, plus AUC, both from one
+    histogram of the probabilities."""
     g = ["model", "train_on", "test_on"]
-    d = ev.withColumn("_p", (F.col("proba") >= threshold).cast("int"))
-    m = M.metric_columns(M.confusion(d, g, pred="_p"), "macro")
-    auc = M.roc_auc(ev, g, "proba")
+    h = cut_lineage(M.score_histogram(ev, g, "proba"))
+    m = M.metric_columns(M.confusion_of_histogram(h, g, (F.col("proba") >= threshold).cast("int")), "macro")
+    auc = M.auc_of_histogram(h, g, "proba")
     return m.join(auc, g).select(*g, *M.METRICS, "auc")
 
 
@@ -68,12 +70,13 @@ def mean_proba(ev: DataFrame, exclude_train_on: str | None = None, key: str = KE
 
 def threshold_metrics(ev: DataFrame, steps: int = 1000) -> DataFrame:
     """The THRESHOLD rows: best value of each metric over the sweep of the mean
-    probability, plus the AUC of the mean probability, one row per test set."""
-    mp = mean_proba(ev)
-    sweep = M.threshold_sweep(mp, ["test_on"], "mean_proba", steps=steps)
+    probability, plus the AUC of the mean probability, one row per test set, both from one
+    histogram of the means."""
+    h = cut_lineage(M.score_histogram(mean_proba(ev), ["test_on"], "mean_proba"))
+    sweep = M.sweep_of_histogram(h, ["test_on"], "mean_proba", steps=steps)
     best = M.best_threshold(sweep, ["test_on"], last_cell=steps)
     wide = best.groupBy("test_on").pivot("metric", M.METRICS).agg(F.first("best_value"))
-    auc = M.roc_auc(mp, ["test_on"], "mean_proba")
+    auc = M.auc_of_histogram(h, ["test_on"], "mean_proba")
     return wide.join(auc, "test_on").select(F.lit("THRESHOLD").alias("model"), F.lit("-").alias("train_on"),
                                            "test_on", *M.METRICS, "auc")
 

@@ -51,6 +51,13 @@ def metric_columns(conf: DataFrame, average: str = "macro", keep_counts: bool =
     return out
 
 
+def confusion_of_histogram(h: DataFrame, group: list[str], pred: Column) -> DataFrame:
+    """``confusion`` of 0 / 1 labels from what ``score_histogram`` gives; ``pred`` follows from the score."""
+    s = lambda p, n: F.coalesce(F.sum(F.when(p, F.col(n))), F.lit(0)).cast("bigint")
+    return h.groupBy(*group).agg(s(pred == 1, "pos").alias("tp"), s(pred == 1, "neg").alias("fp"),
+                                 s(pred == 0, "neg").alias("tn"), s(pred == 0, "pos").alias("fn"))
+
+
 def mcc(conf: DataFrame) -> DataFrame:
     """Matthews correlation (0 when a marginal is empty)."""
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
@@ -70,7 +77,11 @@ def roc_auc(df: DataFrame, group: list[str], score: str, label: str = "label") -
     computed as sum_s pos(s) * (neg(< s) + neg(s)/2) / (P N) over the per-group score
     histogram; the running negative count is a distributed cumulative sum, so a group
     with many distinct scores is not one task. NULL for a one-class group."""
-    h = score_histogram(df, group, score, label)
+    return auc_of_histogram(score_histogram(df, group, score, label), group, score)
+
+
+def auc_of_histogram(h: DataFrame, group: list[str], score: str) -> DataFrame:
+    """``roc_auc`` of what ``score_histogram`` gives."""
     h = cumulative_sum(h, group, [score], ["neg"], ["_neg_below"], inclusive=False)
     agg = h.groupBy(*group).agg(
         F.sum(F.col("pos") * (F.col("_neg_below") + F.col("neg") / 2.0)).alias("_u"),
@@ -116,9 +127,13 @@ def threshold_sweep(df: DataFrame, group: list[str], score: str, label: str = "l
     Rows are reduced to a histogram over the grid cells (partial aggregation), the grid
     is generated per group with ``sequence`` (no join to a range table), and the counts
     at each threshold are descending cumulative sums over <= steps+1 rows per group."""
-    d = df.select(*group, grid_cell(F.col(score), steps).alias("cell"), F.col(label).alias("_y"))
-    h = d.groupBy(*group, "cell").agg(F.sum("_y").cast("bigint").alias("_pos"),
-                                      F.sum(1 - F.col("_y")).cast("bigint").alias("_neg"))
+    return sweep_of_histogram(df.select(*group, score, F.col(label).alias("pos"), (1 - F.col(label)).alias("neg")), group, score, steps)
+
+
+def sweep_of_histogram(hist: DataFrame, group: list[str], score: str, steps: int = 1000) -> DataFrame:
+    """``threshold_sweep`` of what ``score_histogram`` gives."""
+    d = hist.select(*group, grid_cell(F.col(score), steps).alias("cell"), "pos", "neg")
+    h = d.groupBy(*group, "cell").agg(F.sum("pos").cast("bigint").alias("_pos"), F.sum("neg").cast("bigint").alias("_neg"))
     tot = h.groupBy(*group).agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"))
     grid = tot.select(*group, "P", "N", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("cell"))
     g = grid.join(h.filter(F.col("cell") >= 0), [*group, "cell"], "left").fillna(0, ["_pos", "_neg"])
